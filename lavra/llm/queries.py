@@ -5,10 +5,20 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lavra.llm import conversations
+from lavra.llm import conversations, pii
 from lavra.session import table
 
 
+def p2_found(spark: SparkSession, folder: str) -> DataFrame:
+    lex = pii.Lexicon.fit(table(spark, folder, "usuarios"))
+    return pii.found(table(spark, folder, "capturas"), lex, "cap_id", ["previa", "titulo"]).withColumnRenamed("chave", "cap_id")
+
+
+def p2_masked(spark: SparkSession, folder: str) -> DataFrame:
+    lex = pii.Lexicon.fit(table(spark, folder, "usuarios"))
+    return pii.masked(table(spark, folder, "capturas").select("seq", "cap_id", "previa", "titulo"), lex, ["previa", "titulo"])
+
+
 def p5_found(spark: SparkSession, folder: str) -> DataFrame:
     out = conversations.named_conversations(table(spark, folder, "capturas"))
     return out.select(F.col("channel").alias("par_id"), F.col("position").cast("int").alias("ordem"), F.col("message").alias("cap_id"))
@@ -36,7 +46,7 @@ SELECT par_id, CAST(ordem AS INTEGER) AS ordem, cap_id FROM o WHERE par_id IN (S
 
 
 def queries() -> dict:
-    return {"p5_found": p5_found, "p5_unnamed_sessions": p5_unnamed_sessions}
+    return {"p2_found": p2_found, "p2_masked": p2_masked, "p5_found": p5_found, "p5_unnamed_sessions": p5_unnamed_sessions}
 
 
 def oracle_sql() -> dict[str, str]:
