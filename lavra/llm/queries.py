@@ -5,8 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lavra.llm import conversations, pii
-from lavra.session import table
+from lavra.llm import conversations, mixing, packing, pii, tokens
+from lavra.session import checkpoint, table
 
 
 def p2_found(spark: SparkSession, folder: str) -> DataFrame:
@@ -45,8 +45,33 @@ SELECT par_id, CAST(ordem AS INTEGER) AS ordem, cap_id FROM o WHERE par_id IN (S
 """
 
 
+def _sizes(spark: SparkSession, folder: str) -> DataFrame:
+    """Sizes of all documents, computed once and kept in the shared folder."""
+    return checkpoint(tokens.token_sizes(table(spark, folder, "documents"), extra=["source"]))
+
+
+def p6_packing(spark: SparkSession, folder: str) -> DataFrame:
+    return packing.pack(_sizes(spark, folder), table(spark, folder, "capacidades"))
+
+
+def p6_report(spark: SparkSession, folder: str) -> DataFrame:
+    caps = table(spark, folder, "capacidades")
+    return packing.fill_report(packing.pack(_sizes(spark, folder), caps), caps)
+
+
+def p7_mixture(spark: SparkSession, folder: str) -> DataFrame:
+    return mixing.mix(_sizes(spark, folder), table(spark, folder, "misturas"))[0]
+
+
+def p7_shares(spark: SparkSession, folder: str) -> DataFrame:
+    return mixing.mix(_sizes(spark, folder), table(spark, folder, "misturas"))[1]
+
+
 def queries() -> dict:
-    return {"p2_found": p2_found, "p2_masked": p2_masked, "p5_found": p5_found, "p5_unnamed_sessions": p5_unnamed_sessions}
+    return {
+        "p2_found": p2_found, "p2_masked": p2_masked, "p5_found": p5_found, "p5_unnamed_sessions": p5_unnamed_sessions,
+        "p6_packing": p6_packing, "p6_report": p6_report, "p7_mixture": p7_mixture, "p7_shares": p7_shares,
+    }
 
 
 def oracle_sql() -> dict[str, str]:
