@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lavra.llm import conversations, mixing, packing, pii, tokens
+from lavra.llm import conversations, mixing, packing, pii, quality, tokens
 from lavra.session import checkpoint, table
 
 
@@ -67,10 +67,25 @@ def p7_shares(spark: SparkSession, folder: str) -> DataFrame:
     return mixing.mix(_sizes(spark, folder), table(spark, folder, "misturas"))[1]
 
 
+def _classified(spark: SparkSession, folder: str) -> DataFrame:
+    docs = table(spark, folder, "documents")
+    return quality.classify(docs, quality.train(docs, table(spark, folder, "rotulos")))
+
+
+def p8_found(spark: SparkSession, folder: str) -> DataFrame:
+    return _classified(spark, folder).where("classe <> 'prosa'").select("doc_id", "classe")
+
+
+def p8_statistics(spark: SparkSession, folder: str) -> DataFrame:
+    """All figures of each text, with its kind and the calibrated probability."""
+    return _classified(spark, folder)
+
+
 def queries() -> dict:
     return {
         "p2_found": p2_found, "p2_masked": p2_masked, "p5_found": p5_found, "p5_unnamed_sessions": p5_unnamed_sessions,
         "p6_packing": p6_packing, "p6_report": p6_report, "p7_mixture": p7_mixture, "p7_shares": p7_shares,
+        "p8_found": p8_found, "p8_statistics": p8_statistics,
     }
 
 
