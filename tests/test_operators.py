@@ -1,0 +1,135 @@
+import io
+import itertools
+import random
+import zipfile
+
+import pytest
+from pyspark.sql import functions as F
+
+from lavra.functions import detect, validators
+from lavra.operators import lineage as L
+from lavra.operators import policy as P
+from lavra.operators import similarity as S
+from lavra.plans.reference import RULES
+from lavra.sources import files
+
+
+def test_policy_truth_table(spark):
+    axes = (["u", None], ["t", None], ["i", None], ["Pública", "Interna", "Confidencial", "Crítica", "", None], [1, 25], [0, 1])
+    rows = [(i, *x) for i, x in enumerate(itertools.product(*axes))]
+    df = spark.createDataFrame(rows, "id int, usuario_id string, ferramenta_id string, informacao_id string, sensibilidade string, qtd_itens int, fora_horario int")
+    for r in P.evaluate(df, RULES).collect():
+        chain = []
+        if r["usuario_id"] is None or r["ferramenta_id"] is None:
+            chain.append("P-IDENT")
+        if r["informacao_id"] is None or r["sensibilidade"] == "":
+            chain.append("P-CLASS")
+        s = r["sensibilidade"]
+        chain += ["P-CRIT"] * (s == "Crítica") + ["P-VOL"] * (s == "Confidencial" and r["qtd_itens"] >= 20) + ["P-CONF"] * (s == "Confidencial") + ["P-BASE"] * (s in ("Pública", "Interna")) + ["P-HORA"] * r["fora_horario"]
+        assert [x["regra"] for x in r["achados"]] == chain
+        assert r["principal"] == (chain[0] if chain and chain[0] != "P-HORA" else "—")
+
+
+def test_policy_without_rules(spark):
+    r = P.evaluate(spark.range(1), []).first()
+    assert (r["nivel"], r["principal"]) == ("Baixo", "—")
+
+
+def test_validators_and_detectors(spark):
+    text = "CPF 529.982.247-25 e 529.982.247-26, cartão 4539 1488 0343 6467, CNPJ 11.222.333/0001-81, a@b.example, api_key=sk-live-123456789"
+    df = spark.createDataFrame([(text,), (None,), ("",)], "t string")
+    got = [{x["tipo"]: x["contagem"] for x in r["f"]} for r in df.select(detect.detect(F.col("t")).alias("f")).collect()]
+    assert got[0]["cpf"] == 1 and got[0]["cnpj"] == 1 and got[0]["cartao"] == 1 and got[0]["email"] == 1 and got[0]["credencial"] == 1
+    assert got[1] == got[2] == {}
+    assert "[CPF]" in df.select(detect.publish(F.col("t")).alias("x")).first()["x"]
+    assert spark.range(1).select(validators.luhn(F.lit("4539148803436468"))).first()[0] is False
+
+
+def test_similar_equals_brute_force(spark):
+    rng = random.Random(5)
+    words = [f"w{i}" for i in range(200)]
+    docs = {}
+    for i in range(120):
+        docs[i] = " ".join(rng.choice(words) for _ in range(60))
+    for i in range(120, 180):
+        base = docs[rng.randrange(120)].split()
+        for _ in range(rng.randrange(0, 3)):
+            base[rng.randrange(len(base))] = rng.choice(words)
+        docs[i] = (" ".join(base)).upper() + "."
+    docs |= {200: None, 201: "", 202: "um dois", 203: "UM, dois!"}
+    norm = lambda t: " ".join("".join(c if c.isalnum() else " " for c in t.lower()).split())
+    sets = {}
+    for i, t in docs.items():
+        w = norm(t or "").split()
+        if w:
+            sets[i] = {" ".join(w[j : j + 5]) for j in range(max(1, len(w) - 4))}
+    rep = {i: min(j for j in sets if norm(docs[j]) == norm(docs[i])) for i in sets}
+    want = {(rep[a], rep[b]) for a in sets for b in sets if a % 50 == 0 and rep[a] != rep[b] and len(sets[a] & sets[b]) / len(sets[a] | sets[b]) >= 0.8}
+    queries = {rep[a] for a in sets if a % 50 == 0}
+    df = spark.createDataFrame(list(docs.items()), "doc_id bigint, text string")
+    got = {(r["consulta"], r["classe"]) for r in S.similar(df, "doc_id", "text", F.col("doc_id") % 50 == 0).collect()}
+    assert got == want and queries
+    assert {r["doc_id"]: r["classe"] for r in S.representatives(df, "doc_id", "text").collect()} == rep
+
+
+def test_signatures(spark):
+    a = " ".join(f"palavra{i}" for i in range(300))
+    b = a.replace("palavra7 ", "outra ")
+    df = spark.createDataFrame([(a, b), ("", "")], "a string, b string").select(S.hashed_shingles(F.col("a")).alias("a"), S.hashed_shingles(F.col("b")).alias("b"))
+    r = df.select(S.agreement(S.minhash(F.col("a")), S.minhash(F.col("b"))).alias("m"), S.jaccard(F.col("a"), F.col("b")).alias("j"), S.hamming(S.simhash(F.col("a")), S.simhash(F.col("b"))).alias("h")).collect()
+    assert abs(r[0]["m"] - r[0]["j"]) < 0.15 and r[0]["h"] < 12 and r[1]["m"] == 0.0 and r[1]["j"] == 0.0
+
+
+def test_dedup_since_last_emission(spark):
+    rows = [(f"e{i}", "u", "t", f"2024-01-01 {h:02d}:00:00") for i, h in enumerate((0, 5, 8, 15, 16))] + [("n", None, "t", "2024-01-01 00:00:00")]
+    df = spark.createDataFrame(rows, "id string, usuario_id string, ferramenta_id string, q string").withColumn("quando", F.col("q").cast("timestamp"))
+    assert sorted(r["id"] for r in L.dedup_since_last(df).collect()) == ["e0", "e2", "e4"]
+
+
+def test_suffix_join_first_entry_wins(spark):
+    inv = spark.createDataFrame([("a.example", "A", 2), ("b.a.example", "B", 1)], "dominio string, nome string, ordem int")
+    df = spark.createDataFrame([("https://x.b.a.example/p?q",), ("A.EXAMPLE",), ("xa.example",), (None,)], "d string")
+    assert [r["ferramenta_dominio"] for r in L.canonical_domain(df, "d", inv).orderBy(F.col("d").desc_nulls_last()).collect()] == [None, "B", "A", None]
+
+
+def test_json_source_keeps_malformed_rows(spark):
+    df = spark.createDataFrame([('{"usuario": "ana", "qtd": "3", "sens": "x", "via": "r"}',), ("{broken",), (None,)], "value string")
+    out = files.sanitise(files.json_captures(df)).collect()
+    assert [r["valido"] for r in out] == [True, False, False]
+    assert (out[0]["qtd"], out[0]["sens"], out[0]["fonte_captura"], out[1]["qtd"]) == (3, "Interna", "agente", 1)
+
+
+def test_log_sources(spark):
+    one = lambda *t: spark.createDataFrame([(x,) for x in t], "value string")
+    r = files.cef(one("jan 1 host CEF:0|V|P|1|9|upload|High|suser=ana dhost=x.example", "noise")).collect()
+    assert len(r) == 1 and r[0]["sens"] == "Crítica" and r[0]["campos"]["dhost"] == "x.example"
+    r = files.web_log(one("2024-01-01 10:00:00 ana GET https://Chat.example/p?secret=1 200")).first()
+    assert r["host"] == "chat.example" and "secret" not in str(r)
+    r = files.connections(one("  TCP    10.0.0.5:5000   93.184.216.34:443   ESTABLISHED", "tcp 0 0 10.0.0.5:1 192.168.0.9:22 ESTABLISHED")).collect()
+    assert [(x["ip"], x["porta"], x["publico"]) for x in r] == [("93.184.216.34", 443, True), ("192.168.0.9", 22, False)]
+    assert [x["host"] for x in files.dns_names(one("Record Name . . . . : Chat.Example")).collect()] == ["chat.example"]
+    assert one("data: a\n\ndata: b\ndata: [DONE]").select(files.event_stream_text(F.col("value"))).first()[0] == "a\nb"
+
+
+def test_spreadsheet(spark, tmp_path):
+    ns = 'xmlns="http://schemas.openxmlformats.org/spreadsheetml/2006/main"'
+    path = str(tmp_path / "b.xlsx")
+    buf = io.BytesIO()
+    with zipfile.ZipFile(buf, "w") as z:
+        z.writestr("xl/workbook.xml", f'<workbook {ns} xmlns:r="http://schemas.openxmlformats.org/officeDocument/2006/relationships"><sheets><sheet name="Base" r:id="r1"/></sheets></workbook>')
+        z.writestr("xl/_rels/workbook.xml.rels", '<Relationships><Relationship Id="r1" Target="worksheets/s.xml"/></Relationships>')
+        z.writestr("xl/sharedStrings.xml", f"<sst {ns}><si><t>ID</t></si><si><t>Data</t></si></sst>")
+        z.writestr("xl/worksheets/s.xml", f'<worksheet {ns}><sheetData><row r="3"><c r="A3" t="s"><v>0</v></c><c r="C3" t="s"><v>1</v></c></row><row r="5"><c r="A5"><v>7</v></c><c r="C5"><v>45292.5</v></c></row></sheetData></worksheet>')
+    open(path, "wb").write(buf.getvalue())
+    r = files.spreadsheet(spark, path, "Base").select("ID", files.excel_date(F.col("Data")).cast("string").alias("t")).collect()
+    assert [tuple(x) for x in r] == [("7", "2024-01-01 12:00:00")]
+
+
+@pytest.mark.parametrize("n,d,text", [(1, 8, "12,5%"), (1225, 10000, "12,3%"), (0, 5, "0,0%"), (1, 0, "—")])
+def test_percent(spark, n, d, text):
+    assert spark.range(1).select(L.percent(F.lit(n), F.lit(d))).first()[0] == text
+
+
+def test_same_measure(spark):
+    f = lambda a, b: spark.range(1).select(L.same_measure(F.lit(a), F.lit(b))).first()[0]
+    assert f("12,4%", "12,3%") and not f("12,5%", "12,3%") and f("alto", "alto ")
