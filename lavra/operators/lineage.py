@@ -165,14 +165,14 @@ def discovery(captures: DataFrame, catalogue: DataFrame) -> DataFrame:
 
 
 def stations(captures: DataFrame, as_of: str, fresh_s: int = 180, stale_s: int = 900) -> DataFrame:
-    """Per machine: the last capture of each source, age in seconds at as_of, and a light by the youngest."""
+    """Per machine: the last capture of each source, age in seconds at as_of (-1: none), and a light by the youngest."""
     at = F.try_to_timestamp(F.coalesce("recebido_em", "ts"))
     per = captures.where("maquina is not null").groupBy("maquina").agg(
         *[F.max(F.when(F.col("fonte_captura") == s, at)).alias(s) for s in ("agente", "extensao", "mitm")], F.max(at).alias("ultimo"), F.count("*").alias("n")
     )
     age = lambda c: F.unix_seconds(F.lit(as_of).cast("timestamp")) - F.unix_seconds(c)
     return per.select(
-        "maquina", "n", *[age(F.col(s)).alias(f"idade_{s}") for s in ("agente", "extensao", "mitm")],
+        "maquina", "n", *[F.coalesce(age(F.col(s)), F.lit(-1)).alias(f"idade_{s}") for s in ("agente", "extensao", "mitm")],
         F.when(F.col("ultimo").isNull(), "cinza").when(age(F.col("ultimo")) <= fresh_s, "verde").when(age(F.col("ultimo")) <= stale_s, "amarelo").otherwise("vermelho").alias("farol"),
     )
 
@@ -201,11 +201,11 @@ def drift(df: DataFrame, value: str, is_new: Column) -> DataFrame:
 
 
 def anomalies(events: DataFrame) -> DataFrame:
-    """Per user and day: events, items, ratio to the user's median day, days since the previous one, number of new tools."""
+    """Per user and day: events, items, ratio to the user's median day, days since the previous one (-1: none), number of new tools."""
     e = events.where("usuario_id is not null and quando is not null")
     day = e.groupBy("usuario_id", F.to_date("quando").alias("d")).agg(F.count("*").alias("eventos"), F.sum(F.col("qtd_itens").cast("bigint")).alias("itens"))
     first = e.where("ferramenta_id is not null").groupBy("usuario_id", "ferramenta_id").agg(F.to_date(F.min("quando")).alias("d")).groupBy("usuario_id", "d").agg(F.count("*").alias("novas"))
     med = day.groupBy("usuario_id").agg(F.median("eventos").alias("mediana"))
     order = Window.partitionBy("usuario_id").orderBy("d")
     out = day.join(first, ["usuario_id", "d"], "left").join(med, "usuario_id").withColumn("intervalo", F.datediff("d", F.lag("d").over(order)))
-    return out.select("usuario_id", F.date_format("d", "yyyy-MM-dd").alias("dia"), "eventos", "itens", F.round(F.col("eventos") / F.col("mediana"), 4).alias("razao"), F.col("intervalo").cast("bigint").alias("intervalo"), F.coalesce("novas", F.lit(0)).alias("novas"))
+    return out.select("usuario_id", F.date_format("d", "yyyy-MM-dd").alias("dia"), "eventos", "itens", F.round(F.col("eventos") / F.col("mediana"), 4).alias("razao"), F.coalesce(F.col("intervalo").cast("bigint"), F.lit(-1)).alias("intervalo"), F.coalesce("novas", F.lit(0)).alias("novas"))

@@ -241,7 +241,7 @@ def drift(spark, d):
 @query("anomaly_features", f"""WITH {_E}, d AS (SELECT usuario_id, CAST(quando AS DATE) AS d, COUNT(*) AS eventos, CAST(SUM(qtd_itens) AS BIGINT) AS itens FROM e WHERE usuario_id IS NOT NULL AND quando IS NOT NULL GROUP BY 1, 2),
   f AS (SELECT usuario_id, ferramenta_id, CAST(MIN(quando) AS DATE) AS d FROM e WHERE usuario_id IS NOT NULL AND ferramenta_id IS NOT NULL AND quando IS NOT NULL GROUP BY 1, 2), g AS (SELECT usuario_id, d, COUNT(*) AS novas FROM f GROUP BY 1, 2),
   m AS (SELECT usuario_id, MEDIAN(eventos) AS mediana FROM d GROUP BY 1)
-  SELECT d.usuario_id, STRFTIME(d.d, '%Y-%m-%d') AS dia, eventos, itens, ROUND(eventos / mediana, 4) AS razao, CAST(DATEDIFF('day', LAG(d.d) OVER (PARTITION BY d.usuario_id ORDER BY d.d), d.d) AS BIGINT) AS intervalo, COALESCE(novas, 0) AS novas
+  SELECT d.usuario_id, STRFTIME(d.d, '%Y-%m-%d') AS dia, eventos, itens, ROUND(eventos / mediana, 4) AS razao, COALESCE(CAST(DATEDIFF('day', LAG(d.d) OVER (PARTITION BY d.usuario_id ORDER BY d.d), d.d) AS BIGINT), -1) AS intervalo, COALESCE(novas, 0) AS novas
   FROM d JOIN m USING (usuario_id) LEFT JOIN g ON g.usuario_id = d.usuario_id AND g.d = d.d""")
 def anomaly_features(spark, d):
     return L.anomalies(_events(spark, d))
@@ -312,7 +312,7 @@ def discovery_by_form(spark, d):
 
 @query("station_status", """WITH p AS (SELECT maquina, COUNT(*) AS n, MAX(TRY_CAST(COALESCE(recebido_em, ts) AS TIMESTAMP)) AS u, MAX(TRY_CAST(COALESCE(recebido_em, ts) AS TIMESTAMP)) FILTER (WHERE fonte_captura = 'agente') AS a,
   MAX(TRY_CAST(COALESCE(recebido_em, ts) AS TIMESTAMP)) FILTER (WHERE fonte_captura = 'extensao') AS x, MAX(TRY_CAST(COALESCE(recebido_em, ts) AS TIMESTAMP)) FILTER (WHERE fonte_captura = 'mitm') AS m FROM capturas WHERE maquina IS NOT NULL GROUP BY maquina)
-  SELECT maquina, n, CAST(EPOCH(TIMESTAMP '2025-07-01') - FLOOR(EPOCH(a)) AS BIGINT) AS idade_agente, CAST(EPOCH(TIMESTAMP '2025-07-01') - FLOOR(EPOCH(x)) AS BIGINT) AS idade_extensao, CAST(EPOCH(TIMESTAMP '2025-07-01') - FLOOR(EPOCH(m)) AS BIGINT) AS idade_mitm,
+  SELECT maquina, n, COALESCE(CAST(EPOCH(TIMESTAMP '2025-07-01') - FLOOR(EPOCH(a)) AS BIGINT), -1) AS idade_agente, COALESCE(CAST(EPOCH(TIMESTAMP '2025-07-01') - FLOOR(EPOCH(x)) AS BIGINT), -1) AS idade_extensao, COALESCE(CAST(EPOCH(TIMESTAMP '2025-07-01') - FLOOR(EPOCH(m)) AS BIGINT), -1) AS idade_mitm,
   CASE WHEN u IS NULL THEN 'cinza' WHEN EPOCH(TIMESTAMP '2025-07-01') - FLOOR(EPOCH(u)) <= 86400 THEN 'verde' WHEN EPOCH(TIMESTAMP '2025-07-01') - FLOOR(EPOCH(u)) <= 864000 THEN 'amarelo' ELSE 'vermelho' END AS farol FROM p""")
 def station_status(spark, d):
     return L.stations(table(spark, d, "capturas"), "2025-07-01 00:00:00", 86_400, 864_000)
