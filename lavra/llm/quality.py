@@ -176,7 +176,7 @@ def _weak(f: dict) -> str:
         return "lixo"
     if f["words_per_distinct"] >= 4 and f["distinct_root"] < 2 and f["n_words"] >= 16 and f["table_chars"] < 0.5:
         return "lixo"
-    if f["letter_share"] < 0.05 and f["table_chars"] < 0.5 or f["symbol_share"] > 0.45 and f["tag_share"] < 0.01 and f["pipe_share"] < 0.5:
+    if f["letter_share"] + f["digit_share"] < 0.05 or f["letter_share"] < 0.05 and f["table_chars"] < 0.5 or f["symbol_share"] > 0.45 and f["tag_share"] < 0.01 and f["pipe_share"] < 0.5:
         return "lixo"
     if f["table_chars"] > 0.5 and f["n_lines"] >= 2:
         return "tabela"
