@@ -18,6 +18,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from lavra.session import checkpoint
+
 
 def _accents() -> tuple[str, str]:
     """Latin letters that are a plain letter with marks, and that letter."""
@@ -75,7 +77,8 @@ def similar(df: DataFrame, key: str, text: str, is_query: Column, threshold: flo
     members = representatives(df, key, text)
     asked = df.where(is_query).select(key).join(members, key).select(F.col("classe").alias("id")).distinct()
     reps = members.where(F.col(key) == F.col("classe")).select(F.col(key))
-    sets = df.join(reps, key, "left_semi").select(F.col(key).alias("id"), hashed_shingles(F.col(text), n).alias("s")).withColumn("n", F.size("s"))
+    # the sets are used four times: for rarity, prefixes and both sides of the check
+    sets = checkpoint(df.join(reps, key, "left_semi").select(F.col(key).alias("id"), hashed_shingles(F.col(text), n).alias("s")).withColumn("n", F.size("s")))
     each = sets.select("id", "n", F.explode("s").alias("g"))
     rarity = each.groupBy("g").agg(F.count("*").alias("df"))
     order = Window.partitionBy("id").orderBy("df", "g")
