@@ -5,12 +5,13 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from lavra.functions import detect, validators
+from lavra.functions import detect, scalars, validators
 from lavra.functions.text import key
 from lavra.operators import lineage as L
 from lavra.operators import policy as P
 from lavra.operators import similarity as S
 from lavra.session import table
+from lavra.sources import sinks
 from lavra.streaming import streams
 
 QUERIES: dict = {}
@@ -457,6 +458,43 @@ def reference_validity(spark, d):
     return e.join(u, e["usuario_id"] == u["u"], "left").select("id", F.when(F.col("u").isNotNull(), F.col("usuario_id")).alias("usuario_id"), F.col("u").isNotNull().alias("valido"))
 
 
+@query("slugs", r"""SELECT DISTINCT nome, CASE WHEN s = '' THEN 'x' ELSE REGEXP_REPLACE(s, '-$', '') END AS slug FROM (SELECT nome, SUBSTR(REPLACE(TRIM(REGEXP_REPLACE(LOWER(STRIP_ACCENTS(nome)), '[^a-z0-9]+', ' ', 'g')), ' ', '-'), 1, 40) AS s FROM (SELECT nome FROM usuarios UNION ALL SELECT nome FROM ferramentas UNION ALL SELECT nome FROM tipos_informacao) WHERE nome IS NOT NULL)""")
+def slugs(spark, d):
+    names = [table(spark, d, t).select("nome") for t in ("usuarios", "ferramentas", "tipos_informacao")]
+    return names[0].union(names[1]).union(names[2]).where("nome is not null").distinct().select("nome", scalars.slug(F.col("nome")).alias("slug"))
+
+
+@query("local_datetimes", r"""SELECT id, STRFTIME(TRY_STRPTIME(REPLACE(REGEXP_EXTRACT(ts, '^\s*(\d{2}/\d{2}/\d{4}[ T]\d{2}:\d{2})', 1), 'T', ' '), '%d/%m/%Y %H:%M'), '%Y-%m-%d %H:%M:%S') AS quando FROM (SELECT DISTINCT id, ts FROM eventos WHERE REGEXP_MATCHES(ts, '^\s*\d{2}/\d{2}/\d{4}[ T]\d{2}:\d{2}') AND NOT ENDS_WITH(ts, 'M'))""")
+def local_datetimes(spark, d):
+    t = table(spark, d, "eventos").where(F.col("ts").rlike(r"^\s*\d{2}/\d{2}/\d{4}[ T]\d{2}:\d{2}") & ~F.col("ts").endswith("M")).select("id", "ts").distinct()
+    return t.select("id", _time(scalars.local_datetime(F.col("ts"))).alias("quando"))
+
+
+@query("lateness", "SELECT cap_id, CAST(EPOCH(CAST(recebido_em AS TIMESTAMP) + INTERVAL 3 HOUR) - FLOOR(EPOCH(CAST(ts AS TIMESTAMPTZ))) AS BIGINT) AS atraso_s FROM (SELECT cap_id, ts, MIN(recebido_em) AS recebido_em FROM capturas WHERE ts IS NOT NULL GROUP BY 1, 2)")
+def lateness(spark, d):
+    """Seconds from use to first reception."""
+    t = table(spark, d, "capturas").where("ts is not null").groupBy("cap_id", "ts").agg(F.min("recebido_em").alias("r"))
+    return t.select("cap_id", (F.unix_seconds(F.try_to_timestamp("r")) + 10_800 - F.unix_seconds(F.try_to_timestamp("ts"))).alias("atraso_s"))
+
+
+@query("capture_ids", f"WITH {_C} SELECT cap_id, 'SEQ-' || LPAD(CAST(ROW_NUMBER() OVER (ORDER BY recebido_em, cap_id) AS VARCHAR), 6, '0') AS id FROM c")
+def capture_ids(spark, d):
+    """Consecutive ids in order of arrival, without gathering the rows."""
+    return sinks.with_ids(_captures(spark, d, "recebido_em"), ["recebido_em", "cap_id"], "SEQ-").select("cap_id", "id")
+
+
+@query("event_documents")
+def event_documents(spark, d):
+    """Each event with its evidence as one nested JSON document."""
+    e = P.evaluate(_events(spark, d), RULES)
+    return sinks.documents(e.select("id", "nivel", "principal", "area"), "id", {"achados": P.chain(e)})
+
+
+@query("insert_script", "SELECT DISTINCT CONCAT('INSERT INTO ferramentas (id, nome, status) VALUES (', CHR(39), id, CHR(39), ', ', CHR(39), nome, CHR(39), ', ', CHR(39), status, CHR(39), ') ON CONFLICT DO NOTHING;') AS comando FROM ferramentas")
+def insert_script(spark, d):
+    return sinks.insert_script(table(spark, d, "ferramentas").select("id", "nome", "status").distinct(), "ferramentas")
+
+
 # ---- general joins and aggregates
 
 

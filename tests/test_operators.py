@@ -6,12 +6,12 @@ import zipfile
 import pytest
 from pyspark.sql import functions as F
 
-from lavra.functions import detect, validators
+from lavra.functions import detect, scalars, validators
 from lavra.operators import lineage as L
 from lavra.operators import policy as P
 from lavra.operators import similarity as S
 from lavra.plans.reference import RULES
-from lavra.sources import files
+from lavra.sources import files, sinks
 
 
 def test_policy_truth_table(spark):
@@ -133,3 +133,33 @@ def test_percent(spark, n, d, text):
 def test_same_measure(spark):
     f = lambda a, b: spark.range(1).select(L.same_measure(F.lit(a), F.lit(b))).first()[0]
     assert f("12,4%", "12,3%") and not f("12,5%", "12,3%") and f("alto", "alto ")
+
+
+def test_scalars(spark):
+    f = lambda c: spark.range(1).select(c.alias("x")).first()["x"]
+    assert f(scalars.text(F.lit(None).cast("string"))) == "" and f(scalars.text(F.lit(" \t a\n"))) == "a"
+    assert [f(scalars.integer(F.lit(x))) for x in ("12,9", "-3.2", "x", "")] == [12, -3, 0, 0]
+    assert str(f(scalars.local_datetime(F.lit("31/12/2023 21:59 x")))) == "2023-12-31 21:59:00" and f(scalars.local_datetime(F.lit("31/02/2024 10:00"))) is None
+    assert str(f(scalars.iso_without_zone(F.lit("2024-01-01T10:00:00-03:00")))) == "2024-01-01 10:00:00"
+    assert f(scalars.slug(F.lit("Ação & Reação!"))) == "acao-reacao" and f(scalars.slug(F.lit("!!"))) == "x"
+    assert f(scalars.first_json(F.lit('<think>{x</think> ok {"a": {"b": 1}} fim'))) == '{"a": {"b": 1}}' and f(scalars.first_json(F.lit("{a"))) is None
+    assert tuple(f(scalars.quantity(F.lit("10 arquivos de propostas")))) == (10, "propostas") and tuple(f(scalars.quantity(F.lit("proposta")))) == (1, "proposta")
+    assert f(scalars.snap(F.lit("CONTRATO"), ["Base", "Contrato"])) == "Contrato" and f(scalars.snap(F.lit("contrato social"), ["Base", "Contrato"])) == "Contrato" and f(scalars.snap(F.lit("zzz"), ["Base"])) is None
+    assert [f(scalars.level(F.lit(x), {"a": 90, "b": 38, "c": 0})) for x in (95, 38, 5)] == ["a", "b", "c"]
+    assert f(scalars.sql_literal(F.lit("d'água"))) == "'d''água'"
+    assert tuple(f(scalars.host_port(F.lit("[fe80::1]:443")))) == ("fe80::1", 443)
+    assert f(scalars.json_strings(F.lit('{"a": "x", "b": ["y", {"c": "z"}]}'))) == ["x", "y", "z"] and f(scalars.json_strings(F.lit("{"))) == []
+
+
+def test_sinks(spark, tmp_path):
+    path = str(tmp_path / "t")
+    one = spark.createDataFrame([("m", 1, "a"), ("n", 1, "b")], "k string, at int, v string")
+    sinks.upsert(spark, path, one, ["k"], "at")
+    got = sinks.upsert(spark, path, spark.createDataFrame([("m", 2, "c"), ("n", 0, "old")], "k string, at int, v string"), ["k"], "at")
+    assert sorted(tuple(r) for r in got.collect()) == [("m", 2, "c"), ("n", 1, "b")]
+    ids = sinks.with_ids(spark.range(100).selectExpr("100 - id as x"), ["x"]).orderBy("x").collect()
+    assert [r["id"] for r in ids] == [f"CAP-{i:06d}" for i in range(1, 101)]
+    assert sinks.page("<s>/*DADOS*/</s>", {"a": "</s>"}) == '<s>{"a": "<\\/s>"}</s>'
+    assert sinks.snapshot(one, str(tmp_path / "s")) == 2
+    sinks.overwrite(one, str(tmp_path / "o"), "v")
+    assert spark.read.parquet(str(tmp_path / "o")).count() == 2
