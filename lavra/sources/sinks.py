@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from lavra.functions.scalars import sql_literal
+from lavra.session import checkpoint
 
 
 def overwrite(df: DataFrame, path: str, partition: str | None = None) -> None:
@@ -34,7 +35,8 @@ def upsert(spark: SparkSession, path: str, new: DataFrame, key: list[str], at: s
 
 def with_ids(df: DataFrame, order: list[str], prefix: str = "CAP-", width: int = 6) -> DataFrame:
     """Adds id: consecutive numbers in the given order, by two steps (counts per range partition, then positions), so no task holds all rows."""
-    part = df.repartitionByRange(*order).withColumn("_p", F.spark_partition_id())
+    # the partitions are used twice and must be the same ones
+    part = checkpoint(df.repartitionByRange(*order).withColumn("_p", F.spark_partition_id()))
     w = Window.partitionBy("_p").orderBy(*order)
     part = part.withColumn("_i", F.row_number().over(w))
     before = part.groupBy("_p").agg(F.count("*").alias("n")).withColumn("_b", F.coalesce(F.sum("n").over(Window.orderBy("_p").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))).drop("n")
