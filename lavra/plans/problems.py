@@ -85,7 +85,7 @@ o AS (
 
 
 def _zones(spark: SparkSession, folder: str) -> DataFrame:
-    return table(spark, folder, "unidades").groupBy(F.col("id").alias("unidade_id")).agg(F.max("fuso").alias("fuso"))
+    return table(spark, folder, "unidades").groupBy(F.col("id").alias("unidade_id")).agg(F.max(timestamps.known_zone(F.col("fuso"), timestamps.zone_names(spark))).alias("fuso"))
 
 
 def _p4(spark: SparkSession, folder: str) -> DataFrame:
