@@ -2,7 +2,7 @@
 
 Messages are sessionised by channel. Rows that name their conversation use that name as the channel,
 and their conversation is never split; the others use participant and place, and are split where the
-silence exceeds a gap that is calibrated on the data. Roles are taken from the written role or, where it
+silence exceeds a gap that is calibrated on the reply times of the named conversations. Roles are taken from the written role or, where it
 is missing, from the column that holds text. A session is kept if every message has an instant and
 visible text, it begins with a prompt, the roles alternate strictly and it ends with a reply.
 
@@ -76,9 +76,23 @@ def messages(df: DataFrame, c: Columns = Columns(), named_only: bool = True) ->
     )
 
 
+def _reply_times(rows: DataFrame) -> DataFrame:
+    """named, gap: each silence between a prompt and the reply after it in its channel, also across midnight.
+
+    rows: with gap and prev_role inside the pieces.
+    """
+    within = rows.where("prev_role = 'p' and role = 'r'").select("named", "gap")
+    x = F.struct("at", "order", "message", "role")
+    pieces = rows.groupBy("named", "channel", "day").agg(F.min(x).alias("first"), F.max(x).alias("last"))
+    days = Window.partitionBy("named", "channel").orderBy("day")
+    across = pieces.withColumn("before", F.lag("last").over(days)).where("before.role = 'p' and first.role = 'r'")
+    return within.unionAll(across.select("named", (F.col("first.at") - F.col("before.at")).alias("gap")))
+
+
 def _calibrate(share: float) -> Column:
-    """The gap below which `share` of the silences between a prompt and the reply after it lie, times ten."""
-    return F.coalesce(F.percentile_approx(F.when((F.col("prev_role") == "p") & (F.col("role") == "r"), F.col("gap")), share) * 10, F.lit(3_600_000_000))
+    """Ten times the silence below which `share` of the reply times in named conversations lie; without any, of those in unnamed rows; else an hour."""
+    of = lambda named: F.percentile_approx(F.when(F.col("named") == named, F.col("gap")), share) * 10
+    return F.coalesce(of(True), of(False), F.lit(3_600_000_000))
 
 
 def named_conversations(df: DataFrame, c: Columns = Columns()) -> DataFrame:
@@ -109,11 +123,11 @@ def unnamed_sessions(df: DataFrame, c: Columns = Columns(), share: float = 0.95)
 
     A session is split at calibrated gaps and at midnight (UTC); `completa` if it has prompts and replies.
     """
-    rows = messages(df, c, named_only=False).where("not named and at is not null and role is not null")
+    rows = messages(df, c, named_only=False).where("at is not null and role is not null")
     piece = Window.partitionBy("named", "channel", "day").orderBy("at", "order", "message")
     rows = rows.withColumns({"gap": F.col("at") - F.lag("at").over(piece), "prev_role": F.lag("role").over(piece)})
-    gap = rows.agg(_calibrate(share).alias("g")).scalar()
-    rows = rows.withColumn("cut", F.coalesce(F.col("gap") > gap, F.lit(True)).cast("int"))
+    gap = _reply_times(rows).agg(_calibrate(share).alias("g")).scalar()
+    rows = rows.where("not named").withColumn("cut", F.coalesce(F.col("gap") > gap, F.lit(True)).cast("int"))
     rows = rows.withColumn("session", F.sum("cut").over(piece))
     return rows.groupBy("channel", "day", "session").agg(
         F.min("at").alias("begins"), F.count("*").alias("n_mensagens"),

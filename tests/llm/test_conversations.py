@@ -64,6 +64,15 @@ def test_unnamed_rows_are_split_at_silences(spark):
     assert got == [(1, False), (4, True)]
 
 
+def test_the_gap_is_learned_from_named_conversations(spark):
+    # replies after 60 s and, across midnight, after 90 s: the 95th percentile is 90 s and the gap 900 s
+    named = [("2024-01-01T10:00:00Z", "2024-01-01T10:01:00Z"), ("2024-01-01T23:59:30Z", "2024-01-02T00:01:00Z")]
+    rows = [row(2 * i + j, f"n{i}{j}", f"P{i}", t, ("prompt", "resposta")[j], "a" if j == 0 else None, "b" if j else None) for i, ts in enumerate(named) for j, t in enumerate(ts)]
+    rows += [row(10 + i, f"u{i}", None, f"2024-03-01T{t}Z", None, None, None)[:7] + ("Prompt", "u", "m", "d", "clash") for i, t in enumerate(["10:00:00", "10:15:00", "10:30:01", "10:45:02"])]
+    got = sorted(r["n_mensagens"] for r in c.unnamed_sessions(spark.createDataFrame(rows, SCHEMA)).collect())
+    assert got == [1, 1, 2]
+
+
 def test_empty(spark):
     assert c.named_conversations(spark.createDataFrame([], SCHEMA)).count() == 0
     assert c.unnamed_sessions(spark.createDataFrame([], SCHEMA)).count() == 0
