@@ -9,7 +9,7 @@ visible text, it begins with a prompt, the roles alternate strictly and it ends
 No session is gathered in one task. Rows are partitioned by channel and day, so even a channel with a
 third of all rows is spread over its days; a day's piece is ordered by a window, and the pieces of a
 channel are joined by what a piece needs to show: its first and last message, its size, whether it is
-in order inside.
+in order inside; for sessions, the first and last one of each piece.
 
 Edge cases: repeated deliveries of a message count once (the first delivered); messages without id,
 and channels that are blank, are left out of named conversations; messages at the same instant follow
@@ -89,10 +89,16 @@ def _reply_times(rows: DataFrame) -> DataFrame:
     return within.unionAll(across.select("named", (F.col("first.at") - F.col("before.at")).alias("gap")))
 
 
-def _calibrate(share: float) -> Column:
-    """Ten times the silence below which `share` of the reply times in named conversations lie; without any, of those in unnamed rows; else an hour."""
-    of = lambda named: F.percentile_approx(F.when(F.col("named") == named, F.col("gap")), share) * 10
-    return F.coalesce(of(True), of(False), F.lit(3_600_000_000))
+def _calibrate(times: DataFrame, share: float) -> Column:
+    """Ten times the whole seconds within which `share` of the reply times in named conversations lie; without any, of those in unnamed rows; else an hour.
+
+    Exact on counts by second, so that the gap is the same however the rows are partitioned.
+    """
+    counts = times.groupBy("named", F.ceil(F.col("gap") / 1_000_000).alias("s")).agg(F.count("*").alias("n"))
+    side = Window.partitionBy("named")
+    counts = counts.withColumns({"up": F.sum("n").over(side.orderBy("s")), "all": F.sum("n").over(side)}).where(F.col("up") >= F.col("all") * share)
+    of = lambda c: F.min(F.when(c, F.col("s"))) * 10_000_000
+    return counts.agg(F.coalesce(of(F.col("named")), of(~F.col("named")), F.lit(3_600_000_000)).alias("g")).scalar()
 
 
 def named_conversations(df: DataFrame, c: Columns = Columns()) -> DataFrame:
@@ -121,15 +127,24 @@ def named_conversations(df: DataFrame, c: Columns = Columns()) -> DataFrame:
 def unnamed_sessions(df: DataFrame, c: Columns = Columns(), share: float = 0.95) -> DataFrame:
     """channel, begins (microseconds), n_mensagens, n_prompts, n_respostas, completa: sessions of the rows that name no conversation.
 
-    A session is split at calibrated gaps and at midnight (UTC); `completa` if it has prompts and replies.
+    A session is split at calibrated gaps; `completa` if it has prompts and replies.
     """
     rows = messages(df, c, named_only=False).where("at is not null and role is not null")
     piece = Window.partitionBy("named", "channel", "day").orderBy("at", "order", "message")
     rows = rows.withColumns({"gap": F.col("at") - F.lag("at").over(piece), "prev_role": F.lag("role").over(piece)})
-    gap = _reply_times(rows).agg(_calibrate(share).alias("g")).scalar()
+    gap = _calibrate(_reply_times(rows), share)
     rows = rows.where("not named").withColumn("cut", F.coalesce(F.col("gap") > gap, F.lit(True)).cast("int"))
     rows = rows.withColumn("session", F.sum("cut").over(piece))
-    return rows.groupBy("channel", "day", "session").agg(
-        F.min("at").alias("begins"), F.count("*").alias("n_mensagens"),
+    parts = rows.groupBy("channel", "day", "session").agg(
+        F.min("at").alias("begins"), F.max("at").alias("ends"), F.count("*").alias("n_mensagens"),
         F.count_if(F.col("role") == "p").alias("n_prompts"), F.count_if(F.col("role") == "r").alias("n_respostas"),
-    ).withColumn("completa", (F.col("n_prompts") > 0) & (F.col("n_respostas") > 0)).drop("day", "session")
+    )
+    # only a piece's first and last session can go on in another piece: two rows a day in the window of a channel; those between stay with their day
+    last = F.max("session").over(Window.partitionBy("channel", "day"))
+    parts = parts.withColumn("inner", F.when((F.col("session") > 1) & (F.col("session") < last), F.col("day")))
+    pieces = Window.partitionBy("channel", "inner").orderBy("day", "session")
+    goes_on = (F.col("session") == 1) & (F.col("begins") - F.lag("ends").over(pieces) <= gap)
+    parts = parts.withColumn("new", F.when(F.coalesce(goes_on, F.lit(False)), 0).otherwise(1)).withColumn("whole", F.sum("new").over(pieces))
+    return parts.groupBy("channel", "inner", "whole").agg(
+        F.min("begins").alias("begins"), *[F.sum(x).alias(x) for x in ("n_mensagens", "n_prompts", "n_respostas")]
+    ).withColumn("completa", (F.col("n_prompts") > 0) & (F.col("n_respostas") > 0)).drop("inner", "whole")

@@ -73,6 +73,24 @@ def test_the_gap_is_learned_from_named_conversations(spark):
     assert got == [1, 1, 2]
 
 
+def test_sessions_go_on_over_midnight(spark):
+    rng, rows = random.Random(7), [row(0, "a", None, "2024-01-01T23:59:00Z", "prompt", "a", None), row(1, "b", None, "2024-01-02T00:01:00Z", "resposta", None, "b")]
+    got = c.unnamed_sessions(spark.createDataFrame(rows, SCHEMA)).collect()
+    assert [(r["n_mensagens"], r["n_prompts"], r["n_respostas"], r["completa"]) for r in got] == [(2, 1, 1, True)]
+    # replies after 20 minutes in named conversations: the gap is 200 minutes, and days hold several sessions or none
+    rows = [row(i, f"n{i}", "P", f"2024-01-01T10:{20 * i:02d}:00Z", ("prompt", "resposta")[i], "a" if i == 0 else None, "b" if i else None) for i in range(2)]
+    expected = []
+    for u in range(20):
+        minutes, sizes, last = sorted(rng.sample(range(6 * 1440), rng.choice([1, 5, 40, 120]))), [], None
+        for i, m in enumerate(minutes):
+            sizes = [*sizes[:-1], sizes[-1] + 1] if last is not None and m - last <= 200 else [*sizes, 1]
+            last = m
+            rows.append((1000 * u + i, f"u{u}-{i}", None, f"2024-03-{1 + m // 1440:02d}T{m // 60 % 24:02d}:{m % 60:02d}:00Z", None, None, None, "Prompt", f"u{u}", "m", "d", "clash"))
+        expected += [(f"u{u}\u0001m\u0001d", n) for n in sizes]
+    got = c.unnamed_sessions(spark.createDataFrame(rows, SCHEMA)).orderBy("channel", "begins").collect()
+    assert sorted((r["channel"], r["n_mensagens"]) for r in got) == sorted(expected)
+
+
 def test_empty(spark):
     assert c.named_conversations(spark.createDataFrame([], SCHEMA)).count() == 0
     assert c.unnamed_sessions(spark.createDataFrame([], SCHEMA)).count() == 0
