@@ -1,10 +1,11 @@
 """Lineage, exposure, alerts, indicators and discovery over usage events.
 
-All take DataFrames. Events are expected once per id (see once); references are compared by key().
+All take DataFrames. Identical events are expected once (see once); references are compared by key().
 Dimension rows are those of current(): one per id. Joins with dimensions leave broadcasting to the
 optimiser, which knows their sizes.
 
-Edge cases: null references join nothing; events of unknown users or tools leave the inner joins (they
+Edge cases: events without id and differing events of one id all count, identical ones once, and only
+an event with an id has an alert that joins; at one instant, events without id come last; null references join nothing; events of unknown users or tools leave the inner joins (they
 stay with include_unresolved=True); ties are broken by id; empty tables give empty results.
 """
 
@@ -21,8 +22,8 @@ SENSITIVE = ("Confidencial", "Crítica")
 
 
 def once(events: DataFrame) -> DataFrame:
-    """Identical repeated rows once; references as keys; quando = reception."""
-    return events.dropDuplicates(["id"]).withColumns({c: key(F.col(c)) for c in ("usuario_id", "ferramenta_id", "informacao_id")}).withColumnRenamed("recebido_em", "quando")
+    """Rows that are identical in every column once, with or without id (select the columns that matter first); references as keys; quando = reception."""
+    return events.withColumns({c: key(F.col(c)) for c in ("usuario_id", "ferramenta_id", "informacao_id")}).withColumnRenamed("recebido_em", "quando").dropDuplicates()
 
 
 def current(dim: DataFrame) -> DataFrame:
@@ -45,7 +46,7 @@ def lineage(events: DataFrame, users: DataFrame, tools: DataFrame, alerts: DataF
     how = "left" if include_unresolved else "inner"
     u = users.select(F.col("id").alias("usuario_id"), F.col("nome").alias("usuario"), F.col("cargo"))
     t = tools.select(F.col("id").alias("ferramenta_id"), F.col("nome").alias("nome_ferramenta"), F.col("tipo").alias("tipo_ferramenta"))
-    a = alerts.select(F.col("evento_id").alias("id"), F.col("alerta_id"))
+    a = alerts.select(F.col("evento_id").alias("id"), F.col("alerta_id")).distinct()
     found = events.where(ascii_like(["informacao", "informacao_id", "ferramenta", "finalidade"], term))
     return found.join(u, "usuario_id", how).join(t, "ferramenta_id", how).join(a, "id", "left")
 
@@ -107,13 +108,14 @@ def same_measure(a: Column, b: Column, tolerance: float = 0.1) -> Column:
 
 
 def recurrence(events: DataFrame, days: int = 7) -> DataFrame:
-    """id, anteriores: earlier events of the same user and tool within the days before. Same instant: those with a lower id are earlier."""
+    """id, anteriores: earlier events of the same user and tool within the days before. Same instant: those with a lower id are earlier; one without id has none."""
     us = F.unix_micros("quando")
     by = Window.partitionBy("usuario_id", "ferramenta_id")
     span = by.orderBy("us").rangeBetween(-days * 86_400_000_000, 0)
     at = Window.partitionBy("usuario_id", "ferramenta_id", "us")
     e = events.where("usuario_id is not null and ferramenta_id is not null and quando is not null").withColumn("us", us)
-    return e.select("id", (F.count("*").over(span) - F.count("*").over(at) + F.row_number().over(at.orderBy("id")) - 1).alias("anteriores"))
+    lower = F.when(F.col("id").isNull(), 0).otherwise(F.rank().over(at.orderBy(F.col("id").asc_nulls_last())) - 1)
+    return e.select("id", (F.count("*").over(span) - F.count("*").over(at) + lower).alias("anteriores"))
 
 
 def dedup_since_last(events: DataFrame, hours: int = 8) -> DataFrame:
@@ -136,7 +138,7 @@ def dedup_since_last(events: DataFrame, hours: int = 8) -> DataFrame:
 
     e = events.where("usuario_id is not null and ferramenta_id is not null and quando is not null")
     src = e.select("id", F.concat_ws("\u0001", "usuario_id", "ferramenta_id").alias("k"), F.unix_micros("quando").alias("us"))
-    out = src.repartition("k").sortWithinPartitions("k", "us", "id").mapInPandas(run, "id string, k string, us bigint")
+    out = src.repartition("k").sortWithinPartitions("k", "us", F.col("id").asc_nulls_last()).mapInPandas(run, "id string, k string, us bigint")
     parts = F.split("k", "\u0001")
     return out.select("id", parts[0].alias("usuario_id"), parts[1].alias("ferramenta_id"))
 

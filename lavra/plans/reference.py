@@ -28,6 +28,13 @@ _E = f"""e AS (SELECT DISTINCT id, {_key("usuario_id")} AS usuario_id, {_key("fe
   area, sensibilidade, qtd_itens, fora_horario, forma_uso, origem, risco_base, regra_base, risco_espia, regra_espia, divergente, lacuna, recebido_em AT TIME ZONE 'UTC' AS quando FROM eventos)"""
 
 
+#: The columns of e.
+_EVENT = (
+    "id usuario_id ferramenta_id informacao_id informacao ferramenta finalidade area sensibilidade qtd_itens fora_horario forma_uso origem"
+    " risco_base regra_base risco_espia regra_espia divergente lacuna recebido_em"
+).split()
+
+
 def _dim(name: str, cols: list[str]) -> str:
     order = ", ".join(f"{c} DESC NULLS LAST" for c in cols)
     return f"{name}_a AS (SELECT * REPLACE ({_key('id')} AS id) FROM {name} WHERE {_key('id')} IS NOT NULL QUALIFY ROW_NUMBER() OVER (PARTITION BY {_key('id')} ORDER BY incluido_em DESC NULLS LAST, excluido_em DESC NULLS FIRST, {order}) = 1)"
@@ -52,7 +59,7 @@ def query(name: str, sql: str | None = None):
 
 
 def _events(spark: SparkSession, d: str) -> DataFrame:
-    return L.once(table(spark, d, "eventos"))
+    return L.once(table(spark, d, "eventos").select(*_EVENT))
 
 
 def _dims(spark: SparkSession, d: str, name: str) -> DataFrame:

@@ -45,6 +45,15 @@ def test_validators_and_detectors(spark):
     assert spark.range(1).select(validators.luhn(F.lit("4539148803436468"))).first()[0] is False
 
 
+def test_only_identical_events_count_once(spark):
+    row = lambda i, item, n: (i, " U ", "t", item, n)
+    rows = [row("a", "x", 1), row("a", "x", 1), row("b", "x", 1), row("b", "x", 2), row(None, "x", 1), row(None, "x", 1), row(None, "y", 1)]
+    df = spark.createDataFrame(rows, "id string, usuario_id string, ferramenta_id string, informacao_id string, qtd_itens int").withColumn("recebido_em", F.timestamp_seconds(F.lit(0)))
+    got = L.once(df)
+    assert sorted(((r["id"] or "", r["informacao_id"], r["qtd_itens"]) for r in got.collect())) == [("", "x", 1), ("", "y", 1), ("a", "x", 1), ("b", "x", 1), ("b", "x", 2)]
+    assert sorted((r["id"] or "", r["anteriores"]) for r in L.recurrence(got).collect()) == [("", 0), ("", 0), ("a", 0), ("b", 1), ("b", 1)]
+
+
 def test_similar_equals_brute_force(spark):
     rng = random.Random(5)
     words = [f"w{i}" for i in range(200)]
