@@ -94,10 +94,24 @@ def similar(df: DataFrame, key: str, text: str, is_query: Column, threshold: flo
 _PRIME = (1 << 61) - 1
 
 
-def minhash(shingle_hashes: Column, permutations: int = 64, seed: int = 24301) -> Column:
-    """array<bigint>: the least value of each permutation (a h + b) mod 2^61 - 1 over the set; empty for an empty set."""
+def _mod(x: np.ndarray) -> np.ndarray:
+    """x mod 2^61 - 1, for any 64 bits."""
+    x = (x & np.uint64(_PRIME)) + (x >> np.uint64(61))
+    return np.where(x >= np.uint64(_PRIME), x - np.uint64(_PRIME), x)
+
+
+def _permute(a: np.ndarray, b: np.ndarray, h: np.ndarray) -> np.ndarray:
+    """(a h + b) mod 2^61 - 1 for numbers below that, in 64 bits: by halves of 31 bits, where 2^62 counts 2 and a shift by 31 is a rotation."""
+    half, low = np.uint64(31), np.uint64((1 << 31) - 1)
+    a1, a0, h1, h0 = a >> half, a & low, h >> half, h & low
+    mid = _mod(a1 * h0 + a0 * h1)
+    return _mod(np.uint64(2) * a1 * h1 + ((mid & np.uint64((1 << 30) - 1)) << half) + (mid >> np.uint64(30)) + a0 * h0 + b)
+
+
+def minhash(shingle_hashes: Column, permutations: int = 128, seed: int = 24301) -> Column:
+    """array<bigint>: the least value of each permutation (a h + b) mod 2^61 - 1 over the set, h the hashes modulo the same prime; empty for an empty set."""
     rng = np.random.default_rng(seed)
-    a, b = rng.integers(1, 1 << 31, permutations, dtype=np.uint64), rng.integers(0, 1 << 61, permutations, dtype=np.uint64)
+    a, b = rng.integers(1, _PRIME, permutations, dtype=np.uint64), rng.integers(0, _PRIME, permutations, dtype=np.uint64)
 
     @F.pandas_udf("array<bigint>")
     def sign(sets: pd.Series) -> pd.Series:
@@ -106,9 +120,10 @@ def minhash(shingle_hashes: Column, permutations: int = 64, seed: int = 24301) -
             if s is None or len(s) == 0:
                 out.append([])
                 continue
-            h = np.asarray(s, dtype=np.int64).view(np.uint64) % np.uint64(1 << 30)
-            v = (a[:, None] * h[None, :] + b[:, None]) % np.uint64(_PRIME)
-            out.append(v.min(axis=1).astype(np.int64).tolist())
+            h = _mod(np.asarray(s, dtype=np.int64).view(np.uint64))
+            # by 1,024 hashes, so that a long text takes no more memory than a short one
+            least = [_permute(a[:, None], b[:, None], h[None, k : k + 1024]).min(axis=1) for k in range(0, len(h), 1024)]
+            out.append(np.min(least, axis=0).astype(np.int64).tolist())
         return pd.Series(out)
 
     return sign(shingle_hashes)

@@ -410,7 +410,7 @@ def copy_classes(spark, d):
 @query("signatures")
 def signatures(spark, d):
     s = table(spark, d, "documents").select("doc_id", S.hashed_shingles(F.col("text")).alias("s"))
-    return s.select("doc_id", F.size("s").alias("n"), F.lower(F.hex(S.simhash(F.col("s")))).alias("simhash"), F.array_join(F.slice(S.minhash(F.col("s")), 1, 8), "-").alias("minhash"))
+    return s.select("doc_id", F.size("s").alias("n"), F.lower(F.hex(S.simhash(F.col("s")))).alias("simhash"), F.array_join(S.minhash(F.col("s")), "-").alias("minhash"))
 
 
 _RX = {k: v.replace("'", "''") for k, v in detect.PATTERNS.items()}

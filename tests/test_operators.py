@@ -3,6 +3,7 @@ import itertools
 import random
 import zipfile
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -10,6 +11,7 @@ from lavra.functions import detect, scalars, validators
 from lavra.operators import lineage as L
 from lavra.operators import policy as P
 from lavra.operators import similarity as S
+from lavra.plans import reference
 from lavra.plans.reference import RULES
 from lavra.sources import files, sinks
 
@@ -89,6 +91,17 @@ def test_signatures(spark):
     assert abs(r[0]["m"] - r[0]["j"]) < 0.15 and r[0]["h"] < 12 and r[1]["m"] == 0.0 and r[1]["j"] == 0.0
 
 
+def test_signatures_are_whole(spark, tmp_path):
+    rng = random.Random(3)
+    hashes = [rng.randrange(-(1 << 63), 1 << 63) for _ in range(2500)] + [-1, 0, (1 << 61) - 1]
+    got = spark.createDataFrame([(hashes,)], "s array<bigint>").select(S.minhash(F.col("s")).alias("m")).first()["m"]
+    r, p = np.random.default_rng(24301), (1 << 61) - 1
+    a, b = r.integers(1, p, 128, dtype=np.uint64), r.integers(0, p, 128, dtype=np.uint64)
+    assert got == [min((int(x) * ((h % (1 << 64)) % p) + int(y)) % p for h in hashes) for x, y in zip(a, b)]
+    spark.createDataFrame([(1, "um dois tres quatro cinco seis sete")], "doc_id bigint, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    assert len(reference.signatures(spark, str(tmp_path)).first()["minhash"].split("-")) == 128
+
+
 def test_dedup_since_last_emission(spark):
     rows = [(f"e{i}", "u", "t", f"2024-01-01 {h:02d}:00:00") for i, h in enumerate((0, 5, 8, 15, 16))] + [("n", None, "t", "2024-01-01 00:00:00")]
     df = spark.createDataFrame(rows, "id string, usuario_id string, ferramenta_id string, q string").withColumn("quando", F.col("q").cast("timestamp"))
