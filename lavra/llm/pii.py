@@ -178,7 +178,7 @@ _OTHER_CUE = re.compile(
 _PARTICLES = frozenset("da de do das dos del e la los".split()) - {"e"}
 _WORD = re.compile(r"[^\W\d_]+(?:[-'’][^\W\d_]+)*")
 _PERSON_CUE = re.compile(
-    r"(?:(?<!\w)(?:sr|sra|dr|dra|mr|mrs|ms|dona)\.?|\b(?:titular|cliente|client|nome|nombre|name|assinado por|signed by|firmado por|em nome de|on behalf of|en nombre de|falar com|a pessoa é|ficha de|cadastro|dados))\s*:?\s+"
+    r"(?i:(?<!\w)(?:sr|sra|dr|dra|mr|mrs|ms|dona)\.?|\b(?:titular|cliente|client|nome|nombre|name|assinado por|signed by|firmado por|em nome de|on behalf of|en nombre de|falar com|a pessoa é|ficha de|cadastro|dados))\s*:?\s+"
     r"((?:[A-ZÀ-Ý]\.\s+)?[A-ZÀ-Ý][\w\-]+(?:\s+(?:d[aeo]s?\s+)?[A-ZÀ-Ý][\w\-]+){0,4})"
 )
 _NO_PERSON = frozenset(

@@ -65,3 +65,10 @@ def test_over_tables(spark):
     assert pii.found(df.where("false"), lex, "cap_id", ["previa"]).count() == 0
     assert [r["previa"] for r in pii.masked(df, lex, ["previa"]).orderBy("campo").collect()] == ["[NOME] ligou", "[NOME] ligou", None, "[NOME]"]
     assert pii.Lexicon.fit(people.where("false")).given == frozenset()
+
+
+@pytest.mark.parametrize("cue", ["Dr. ", "Sr. ", "DRA. ", "Cliente: ", "Nome: ", "Titular ", "Falar com ", "ASSINADO POR "])
+def test_capitalised_words_announce_a_person(cue):
+    text = f"{cue}Zacarias Montepulciano hoje"
+    assert [(k, text[a:b]) for k, a, b in pii.detect(text, LEX)] == [("nome", "Zacarias Montepulciano")]
+    assert pii.detect(f"{cue}zacarias montepulciano hoje", LEX) == []
