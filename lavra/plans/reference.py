@@ -443,6 +443,59 @@ def check_digits(spark, d):
     return n.select("d", validators.cpf(F.col("d")).alias("cpf"), validators.cnpj(F.col("d")).alias("cnpj"), validators.luhn(F.col("d")).alias("luhn"))
 
 
+_RUN = "[0-9]+(?:[ ./-][0-9]+)*"
+# the same without going back: Java's stack does not hold long runs
+_RUN_JAVA = "[0-9]++(?:[ ./-][0-9]++)*+"
+
+
+def _sum(d: str, weights: list[int]) -> str:
+    return f"LIST_SUM(LIST_TRANSFORM(RANGE(1, {len(weights) + 1}), LAMBDA i: TRY_CAST(({d})[i] AS INTEGER) * {weights}[i])) * 10 % 11 % 10"
+
+
+def _checked(d: str, n: int, first: list[int], second: list[int]) -> str:
+    return f"COALESCE(LENGTH({d}) = {n} AND {d} <> REPEAT(({d})[1], {n}) AND {_sum(d, first)} = TRY_CAST(({d})[{n - 1}] AS INTEGER) AND {_sum(d, second)} = TRY_CAST(({d})[{n}] AS INTEGER), FALSE)"
+
+
+def _cpf(d: str) -> str:
+    return _checked(d, 11, list(range(10, 1, -1)), list(range(11, 1, -1)))
+
+
+def _cnpj(d: str) -> str:
+    first = [5, 4, 3, 2, 9, 8, 7, 6, 5, 4, 3, 2]
+    return _checked(d, 14, first, [6, *first])
+
+
+def _luhn(d: str) -> str:
+    one = f"TRY_CAST(REVERSE({d})[i] AS INTEGER)"
+    return f"(LENGTH({d}) BETWEEN 13 AND 19 AND LIST_SUM(LIST_TRANSFORM(RANGE(1, LENGTH({d}) + 1), LAMBDA i: CASE WHEN i % 2 = 1 THEN {one} WHEN {one} > 4 THEN {one} * 2 - 9 ELSE {one} * 2 END)) % 10 = 0)"
+
+
+@query("check_digits_of_runs", f"""WITH t AS (SELECT 'previa' AS campo, previa AS x FROM capturas UNION ALL SELECT 'titulo', titulo FROM capturas UNION ALL SELECT 'text', text FROM documents),
+  r AS (SELECT campo, UNNEST(REGEXP_EXTRACT_ALL(x, '{_RUN}')) AS r FROM t), n AS (SELECT campo, REGEXP_REPLACE(r, '[^0-9]', '', 'g') AS d, COUNT(*) AS n FROM r GROUP BY 1, 2)
+  SELECT campo, d, n, {_cpf("d")} AS cpf, {_cnpj("d")} AS cnpj, {_luhn("d")} AS luhn FROM n""")
+def check_digits_of_runs(spark, d):
+    """Every run of digits (single blanks, dots, slashes and dashes inside) of captures and documents, with the validators' answers."""
+    texts = table(spark, d, "capturas").select(F.explode(F.array(*[F.struct(F.lit(c).alias("campo"), F.col(c).alias("x")) for c in ("previa", "titulo")])).alias("t")).select("t.*")
+    texts = texts.unionByName(table(spark, d, "documents").select(F.lit("text").alias("campo"), F.col("text").alias("x")))
+    runs = texts.select("campo", F.explode(F.regexp_extract_all("x", F.lit(_RUN_JAVA), F.lit(0))).alias("r"))
+    n = runs.groupBy("campo", validators.digits(F.col("r")).alias("d")).agg(F.count("*").alias("n"))
+    return n.select("campo", "d", "n", validators.cpf(F.col("d")).alias("cpf"), validators.cnpj(F.col("d")).alias("cnpj"), validators.luhn(F.col("d")).alias("luhn"))
+
+
+def _found(kind: str, ok=None) -> str:
+    found = f"REGEXP_EXTRACT_ALL(text, '{_RX[kind]}')"
+    d = "REGEXP_REPLACE(x, '[^0-9]', '', 'g')"
+    return f"CAST(COALESCE(LEN({f'LIST_FILTER({found}, LAMBDA x: {ok(d)})' if ok else found}), 0) AS BIGINT) AS {kind}"
+
+
+@query("detector_counts_all", "SELECT doc_id, " + ", ".join([
+    _found("cpf", _cpf), _found("cnpj", _cnpj), _found("cartao", lambda d: f"{_luhn(d)} AND NOT {_cpf(d)} AND NOT {_cnpj(d)}"), *[_found(k) for k in ("email", "telefone", "chave_pix_aleatoria", "credencial")],
+]) + " FROM documents")
+def detector_counts_all(spark, d):
+    """All kinds of detectors on documents; those with check digits count what is valid."""
+    return table(spark, d, "documents").select("doc_id", *[F.size(detect.matches(F.col("text"), k)).cast("bigint").alias(k) for k in detect.PATTERNS])
+
+
 @query("composite_keys", """SELECT DISTINCT CONCAT_WS(' | ', ferramenta, forma_uso, sensibilidade) AS assinatura, SHA256(CONCAT_WS(' | ', ferramenta, forma_uso, sensibilidade)) AS resumo, SPLIT_PART(regra_base, 'R', 2) AS numero FROM eventos""")
 def composite_keys(spark, d):
     k = F.concat_ws(" | ", "ferramenta", "forma_uso", "sensibilidade")

@@ -47,6 +47,26 @@ def test_validators_and_detectors(spark):
     assert spark.range(1).select(validators.luhn(F.lit("4539148803436468"))).first()[0] is False
 
 
+def test_check_digits(spark):
+    right = {"52998224725": "cpf", "11222333000181": "cnpj", "4539148803436467": "luhn"}
+    numbers = [*right, "52998224726", "11111111111", "11222333000182", "4539148803436468", "123"]
+    d = F.col("d")
+    got = spark.createDataFrame([(x,) for x in numbers], "d string").select("d", validators.cpf(d).alias("cpf"), validators.cnpj(d).alias("cnpj"), validators.luhn(d).alias("luhn")).collect()
+    assert {(r["d"], k) for r in got for k in ("cpf", "cnpj", "luhn") if r[k]} == set(right.items())
+
+
+def test_check_digit_detectors_run_over_the_tables(spark, tmp_path):
+    spark.createDataFrame([("a 529.982.247-25 b", None)], "previa string, titulo string").write.parquet(f"{tmp_path}/capturas.parquet")
+    spark.createDataFrame([(1, "CNPJ 11.222.333/0001-81, 4539 1488 0343 6467 e 529.982.247-26")], "doc_id bigint, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    got = {(r["campo"], r["d"], r["cpf"], r["cnpj"], r["luhn"]) for r in reference.check_digits_of_runs(spark, str(tmp_path)).collect()}
+    assert got == {("previa", "52998224725", True, False, False), ("text", "11222333000181", False, True, False), ("text", "4539148803436467", False, False, True), ("text", "52998224726", False, False, False)}
+    spark.createDataFrame([(1, "12 " * 50_000)], "doc_id bigint, text string").write.parquet(f"{tmp_path}/long/documents.parquet")
+    spark.createDataFrame([], "previa string, titulo string").write.parquet(f"{tmp_path}/long/capturas.parquet")
+    assert [(len(r["d"]), r["n"]) for r in reference.check_digits_of_runs(spark, f"{tmp_path}/long").collect()] == [(100_000, 1)]
+    r = reference.detector_counts_all(spark, str(tmp_path)).first()
+    assert (r["cpf"], r["cnpj"], r["cartao"], r["email"]) == (0, 1, 1, 0)
+
+
 def test_only_identical_events_count_once(spark):
     row = lambda i, item, n: (i, " U ", "t", item, n)
     rows = [row("a", "x", 1), row("a", "x", 1), row("b", "x", 1), row("b", "x", 2), row(None, "x", 1), row(None, "x", 1), row(None, "y", 1)]
