@@ -3,7 +3,9 @@
 The aggregate is a vector of sums. Each inner node caches the sum of its subtree. The leaf for a key
 is looked for from the finger at the right end, where nearly all inserts fall; a late key climbs only
 as far as its distance asks for. An insert adds its value to the ancestors of one leaf; eviction cuts
-whole subtrees off the left spine.
+whole subtrees off the left spine. Two bounds go through the keys: below `low` everything has been
+evicted and nothing is taken any more, below `published` sums have been given out already. add() says
+where a key fell: REFUSED, LATE or OPEN.
 """
 
 from __future__ import annotations
@@ -11,6 +13,9 @@ from __future__ import annotations
 from bisect import bisect_left, bisect_right
 
 
+REFUSED, OPEN, LATE = -1, 0, 1
+
+
 class _Node:
     __slots__ = ("up", "keys", "vals", "kids", "sum")
 
@@ -26,12 +31,15 @@ class FingerTree:
     def __init__(self, width: int, most: int = 16):
         self.width, self.most = width, most
         self.root = self.right = _Node(width, True)
+        self.low = self.published = -(1 << 62)
         self.touched = 0  # nodes visited, for tests of the logarithmic bound
 
     # ---- inserting
 
-    def add(self, key: int, value) -> None:
-        """Add a vector to the entry of key, made where it is missing."""
+    def add(self, key: int, value) -> int:
+        """Add a vector to the entry of key, made where it is missing. Gives where the key fell; a refused one changes nothing."""
+        if key < self.low:
+            return REFUSED
         node = self.right
         while node.up is not None and (not node.keys or key < node.keys[0]):
             node = node.up
@@ -59,6 +67,7 @@ class FingerTree:
             self.touched += 1
         if len(node.keys) > self.most:
             self._split(node)
+        return LATE if key < self.published else OPEN
 
     def _lower(self, node: _Node) -> None:
         while node.up is not None:
@@ -124,6 +133,22 @@ class FingerTree:
             else:
                 self._total(node.kids[i], low, high, out)
 
+    def next_key(self, low: int) -> int | None:
+        """The least key that is not below low."""
+        node, then = self.root, None
+        while node.kids is not None:
+            i = max(0, bisect_right(node.keys, low) - 1)
+            if i + 1 < len(node.kids):
+                then = node.keys[i + 1]
+            node = node.kids[i]
+            self.touched += 1
+        i = bisect_left(node.keys, low)
+        return node.keys[i] if i < len(node.keys) else then
+
+    def publish(self, upto: int) -> None:
+        """Keys below upto have been given out: what is added there from now on is late."""
+        self.published = max(self.published, upto)
+
     def items(self):
         stack = [self.root]
         while stack:
@@ -137,6 +162,7 @@ class FingerTree:
 
     def evict(self, low: int) -> list:
         """Drop all keys below low, whole subtrees at once; gives the sum of what went."""
+        self.low = max(self.low, low)
         gone = self._evict(self.root, low)
         while self.root.kids is not None and len(self.root.kids) == 1:
             self.root = self.root.kids[0]

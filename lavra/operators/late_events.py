@@ -3,8 +3,9 @@
 Figures per period of event time, corrected by every late record until a cut-off. Records are
 deduplicated by key (their first arrival counts), hashed by that key into shards and, inside a shard,
 read in order of arrival. Each shard keeps a finger B-tree of partial sums keyed by event-time minute:
-an insert updates the ancestors of one leaf, and when a period's cut-off passes, its figure is given
-out and its subtrees are evicted in bulk. Since the clock is the arrival of the record at hand, shards
+an insert updates the ancestors of one leaf and tells whether it fell into a period already published,
+and when a period's cut-off passes, its subtrees are evicted in bulk and refuse what comes later.
+Periods are found and summed by descents, so closing one costs the logarithm of the window. Since the clock is the arrival of the record at hand, shards
 need not know of each other, and the sums of their figures are exact. What a shard keeps in memory is
 the open window, bounded by its minutes and not by the rows.
 
@@ -16,6 +17,7 @@ gives no rows.
 
 from __future__ import annotations
 
+import pickle
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -24,7 +26,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from lavra.operators.finger_tree import FingerTree
+from lavra.operators.finger_tree import LATE, REFUSED, FingerTree
 
 _S = 1_000_000
 
@@ -56,69 +58,86 @@ def _epochs(ar: np.ndarray, p: int, cut: int) -> Iterator[tuple[int, int]]:
 
 
 class Shard:
-    """The tree of one shard and the periods it has closed so far."""
+    """The tree of one shard, and what has been published of its open periods.
+
+    Figures are given out as changes (p, em, n, amount, late, dropped): period p, as published at the end
+    of period em. A period's first row has em = p; later ones are corrections by the records that arrived
+    in em. Their sums are the figures after all corrections.
+    """
 
     def __init__(self, rule: Lateness):
         self.p, self.cut, self.leaf = rule.period_s * _S, rule.cutoff_s * _S, rule.leaf_s * _S
         self.per = rule.period_s // rule.leaf_s
         self.tree = FingerTree(3)  # records, amount, late records
-        self.first: dict[int, int] = {}  # records of a period as first published, at its end
-        self.closed = self.open_from = None
+        self.given: dict[int, list] = {}  # sums as last published, of the periods that have ended and are not evicted
+        self.closed: int | None = None  # periods below it have ended
         self.dropped: dict[int, int] = {}
 
-    def _advance(self, closed: int, evict: int) -> list[tuple]:
+    def _periods(self, low: int, high: int | None = None) -> Iterator[int]:
+        """Periods from low to below high that hold records, each found by one descent."""
+        k = self.tree.next_key(low * self.per)
+        while k is not None and (high is None or k < high * self.per):
+            d = k // self.per
+            yield d
+            k = self.tree.next_key((d + 1) * self.per)
+
+    def _publish(self, d: int, em: int) -> Iterator[tuple]:
+        now, was = self.tree.total(d * self.per, (d + 1) * self.per), self.given.get(d, [0, 0, 0])
+        if now != was:
+            yield (d, em, *[x - y for x, y in zip(now, was)], 0)
+            self.given[d] = now
+
+    def corrections(self) -> Iterator[tuple]:
+        """What has changed since it was last published, in the periods that have ended."""
+        if self.closed is not None:
+            for d in list(self._periods(self.tree.low // self.per, self.closed)):
+                yield from self._publish(d, self.closed)
+        for d, n in sorted(self.dropped.items()):
+            yield (d, self.closed, 0, 0, 0, n)
+        self.dropped.clear()
+
+    def _advance(self, closed: int, evict: int) -> Iterator[tuple]:
         """closed: periods below it have ended; evict: periods below it are past their cut-off."""
-        out = []
         if self.closed is None:
-            self.closed, self.open_from = closed, evict
-            return out
-        if closed > self.closed:
-            for d in sorted({k // self.per for k, _ in self._between(self.closed, closed)}):
-                self.first[d] = self.tree.total(d * self.per, (d + 1) * self.per)[0]
             self.closed = closed
-        if evict > self.open_from:
-            out = self._give(evict)
-            self.open_from = evict
-        return out
-
-    def _between(self, a: int, b: int):
-        return ((k, v) for k, v in self.tree.items() if a * self.per <= k < b * self.per)
-
-    def _give(self, below: int | None) -> list[tuple]:
-        days = sorted({k // self.per for k, _ in self.tree.items() if below is None or k < below * self.per} | {d for d in self.dropped if below is None or d < below})
-        out = []
-        for d in days:
-            n, amount, late = self.tree.total(d * self.per, (d + 1) * self.per)
-            out.append((d, self.first.pop(d, n - late), n, amount, late, self.dropped.pop(d, 0)))
-        if below is not None:
-            self.tree.evict(below * self.per)
-        return out
+        else:
+            yield from self.corrections()
+            for d in list(self._periods(self.closed, closed)):
+                yield from self._publish(d, d)
+        self.closed = max(self.closed, closed)
+        self.tree.publish(self.closed * self.per)
+        self.tree.evict(evict * self.per)
+        for d in [d for d in self.given if d < evict]:
+            del self.given[d]
 
     def take(self, ev: np.ndarray, ar: np.ndarray, amount: np.ndarray) -> tuple[np.ndarray, list[tuple]]:
-        """Insert records in order of arrival. Gives which of them came late and were taken, and the periods given out."""
+        """Insert records in order of arrival. Gives which of them the tree took late, and the changes published."""
         late_taken = np.zeros(len(ev), bool)
         out: list[tuple] = []
-        day = ev // self.p
         for a, b in _epochs(ar, self.p, self.cut):
             # a period d has ended when ar >= (d + 1) p, and is past its cut-off when ar > (d + 1) p + cut
             out += self._advance(int(ar[a] // self.p), int((ar[a] - self.cut - 1) // self.p))
-            d = day[a:b]
-            late, alive = d < self.closed, d >= self.open_from
-            late_taken[a:b] = late & alive
-            if not alive.all():
-                for x, n in zip(*np.unique(d[~alive], return_counts=True)):
-                    self.dropped[int(x)] = self.dropped.get(int(x), 0) + int(n)
-            keys, where = np.unique(ev[a:b][alive] // self.leaf, return_inverse=True)
-            if len(keys):
-                n = np.bincount(where)
-                s = np.bincount(where, weights=amount[a:b][alive])
-                late_n = np.bincount(where, weights=late[alive])
-                for k, x, y, z in zip(keys.tolist(), n.tolist(), s.tolist(), late_n.tolist()):
-                    self.tree.add(k, (x, int(y), int(z)))
+            keys, where = np.unique(ev[a:b] // self.leaf, return_inverse=True)
+            n, s = np.bincount(where), np.bincount(where, weights=amount[a:b])
+            # the tree decides: its bounds stand still within an epoch, so all records of a leaf fare alike
+            place = np.array([self._insert(k, x, int(y)) for k, x, y in zip(keys.tolist(), n.tolist(), s.tolist())])
+            late_taken[a:b] = place[where] == LATE
         return late_taken, out
 
+    def _insert(self, key: int, n: int, amount: int) -> int:
+        late = n if key < self.tree.published else 0
+        place = self.tree.add(key, (n, amount, late))
+        if place == REFUSED:
+            self.dropped[key // self.per] = self.dropped.get(key // self.per, 0) + n
+        return place
+
     def finish(self) -> list[tuple]:
-        return self._give(None)
+        """What is left when no more records come: the open corrections, then the periods that have not ended."""
+        out = list(self.corrections())
+        if self.closed is not None:
+            for d in list(self._periods(self.closed)):
+                out += self._publish(d, d)
+        return out
 
 
 def _late_rows(rule: Lateness):
@@ -133,27 +152,56 @@ def _late_rows(rule: Lateness):
     return run
 
 
-def _figures(rule: Lateness):
+_CHANGE = ["p", "em", "n", "amount", "late", "dropped"]
+_CHANGES = ", ".join(f"{c} bigint" for c in _CHANGE)
+
+
+def _changes(rule: Lateness):
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        shard, out = Shard(rule), []
+        shard = Shard(rule)
         for pdf in batches:
-            out += shard.take(pdf["ev"].to_numpy(), pdf["ar"].to_numpy(), pdf["amount"].fillna(0).to_numpy())[1]
-        out += shard.finish()
-        yield pd.DataFrame(out, columns=["p", "first", "n", "amount", "late", "dropped"])
+            yield pd.DataFrame(shard.take(pdf["ev"].to_numpy(), pdf["ar"].to_numpy(), pdf["amount"].fillna(0).to_numpy())[1], columns=_CHANGE)
+        yield pd.DataFrame(shard.finish(), columns=_CHANGE)
 
     return run
 
 
 def late_records(firsts: DataFrame, rule: Lateness = Lateness()) -> DataFrame:
-    """p (period number), k, ev, ar: the records that came late and were still taken."""
+    """p (period number), k, ev, ar: the records that the tree took late."""
     return firsts.sortWithinPartitions("ar", "k").mapInPandas(_late_rows(rule), "p bigint, k string, ev bigint, ar bigint")
 
 
+def changes(firsts: DataFrame, rule: Lateness = Lateness()) -> DataFrame:
+    """p, em, n, amount, late, dropped: each period as published at its end (em = p), and its corrections at the end of each later period em."""
+    parts = firsts.select("k", "ev", "ar", "amount").sortWithinPartitions("ar", "k").mapInPandas(_changes(rule), _CHANGES)
+    return parts.groupBy("p", "em").agg(*[F.sum(c).alias(c) for c in _CHANGE[2:]])
+
+
 def corrected_figures(firsts: DataFrame, rule: Lateness = Lateness()) -> DataFrame:
-    """p, first (as published at the end of the period), n and amount (corrected), late, dropped, per period."""
-    parts = (
-        firsts.select("k", "ev", "ar", "amount")
-        .sortWithinPartitions("ar", "k")
-        .mapInPandas(_figures(rule), "p bigint, first bigint, n bigint, amount bigint, late bigint, dropped bigint")
-    )
-    return parts.groupBy("p").agg(*[F.sum(c).alias(c) for c in ("first", "n", "amount", "late", "dropped")])
+    """p, first (as published at the end of the period), n and amount (corrected), late, dropped, per period: the sums of its changes."""
+    parts = firsts.select("k", "ev", "ar", "amount").sortWithinPartitions("ar", "k").mapInPandas(_changes(rule), _CHANGES)
+    return parts.groupBy("p").agg(F.sum(F.col("n") - F.col("late")).alias("first"), *[F.sum(c).alias(c) for c in _CHANGE[2:]])
+
+
+def stream_changes(records: DataFrame, rule: Lateness = Lateness(), shards: int = 64, repeats: str = "10 days") -> DataFrame:
+    """The same changes from a stream of k, ev, ar (microseconds), amount; append mode.
+
+    The state of a shard is its tree, kept between batches and runs; each batch inserts its records in
+    order of arrival and gives out the changes of the periods that have ended. Keys delivered again within
+    `repeats` count once. Sums over all rows of a period are its figures so far.
+    """
+    firsts = (
+        records.where("k is not null and ev is not null and ar is not null")
+        .withColumn("em", F.timestamp_micros("ar")).withWatermark("em", repeats).dropDuplicatesWithinWatermark(["k"])
+        .select(F.pmod(F.xxhash64("k"), F.lit(shards)).alias("shard"), "ev", "ar", F.coalesce("amount", F.lit(0)).cast("bigint").alias("amount"))
+    )
+
+    def advance(_key, batches: Iterator[pd.DataFrame], state) -> Iterator[pd.DataFrame]:
+        shard = pickle.loads(state.get[0]) if state.exists else Shard(rule)
+        new = pd.concat(list(batches)).sort_values("ar", kind="stable")
+        out = shard.take(new["ev"].to_numpy(), new["ar"].to_numpy(), new["amount"].to_numpy())[1]
+        out += shard.corrections()
+        state.update((pickle.dumps(shard),))
+        yield pd.DataFrame(out, columns=_CHANGE)
+
+    return firsts.groupBy("shard").applyInPandasWithState(advance, _CHANGES, "tree binary", "append", "NoTimeout")

@@ -34,6 +34,13 @@ def p1_daily_figures(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
+def p1_corrections(spark: SparkSession, folder: str) -> DataFrame:
+    """Each day as published at its end, and by how much it was corrected at the end of each later day."""
+    return late_events.changes(_arrivals(spark, folder)).select(
+        _day(F.col("p")).alias("dia"), _day(F.col("em")).alias("publicado"), "n", F.col("amount").alias("qtd"), F.col("late").alias("n_atrasadas"), F.col("dropped").alias("n_fora_do_corte")
+    )
+
+
 _P1 = """
 WITH a AS (
   SELECT cap_id, MIN(CAST(recebido_em AS TIMESTAMP)) + INTERVAL 3 HOUR AS ar, ARG_MIN(COALESCE(qtd, 0), CAST(recebido_em AS TIMESTAMP)) AS qtd,
@@ -110,7 +117,7 @@ def p4_mixture(spark: SparkSession, folder: str) -> DataFrame:
 
 def queries() -> dict:
     return {
-        "p1_found": p1_found, "p1_daily_figures": p1_daily_figures, "p3_found": p3_found, "p3_report": p3_report,
+        "p1_found": p1_found, "p1_daily_figures": p1_daily_figures, "p1_corrections": p1_corrections, "p3_found": p3_found, "p3_report": p3_report,
         "p4_found": p4_found, "p4_mixture": p4_mixture,
     }
 
@@ -123,6 +130,10 @@ def oracle_sql() -> dict[str, str]:
             CAST(COALESCE(SUM(qtd) FILTER (WHERE ar <= fim + INTERVAL 72 HOUR), 0) AS BIGINT) AS qtd,
             COUNT(*) FILTER (WHERE ar >= fim AND ar <= fim + INTERVAL 72 HOUR) AS n_atrasadas, COUNT(*) FILTER (WHERE ar > fim + INTERVAL 72 HOUR) AS n_fora_do_corte
             FROM d GROUP BY dia""",
+        "p1_corrections": _P1 + """SELECT STRFTIME(dia, '%Y-%m-%d') AS dia, STRFTIME(GREATEST(dia, CAST(ar AS DATE)), '%Y-%m-%d') AS publicado,
+            COUNT(*) FILTER (WHERE ar <= fim + INTERVAL 72 HOUR) AS n, CAST(COALESCE(SUM(qtd) FILTER (WHERE ar <= fim + INTERVAL 72 HOUR), 0) AS BIGINT) AS qtd,
+            COUNT(*) FILTER (WHERE ar >= fim AND ar <= fim + INTERVAL 72 HOUR) AS n_atrasadas, COUNT(*) FILTER (WHERE ar > fim + INTERVAL 72 HOUR) AS n_fora_do_corte
+            FROM d GROUP BY 1, 2""",
         "p3_found": _P3 + "SELECT DISTINCT campo, mes, evento_id FROM o",
         "p3_report": _P3 + "SELECT campo, mes, motivo, COUNT(*) AS n, COUNT(DISTINCT chave) AS n_chaves FROM (SELECT DISTINCT campo, mes, evento_id, chave, motivo FROM o) GROUP BY ALL",
     }
