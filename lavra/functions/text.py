@@ -2,22 +2,23 @@
 
 from __future__ import annotations
 
+import unicodedata
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-#: White space at either end, in any script, with the invisible format characters.
-_EDGES = r"^[\s\p{Z}\p{Cf}\p{Cc}]+|[\s\p{Z}\p{Cf}\p{Cc}]+$"
+#: White space in any script, control characters and the invisible format characters.
+_EDGES = "".join(c for c in map(chr, range(0x110000)) if unicodedata.category(c) in ("Zs", "Zl", "Zp", "Cc", "Cf"))
 
 
 def strip(c: Column) -> Column:
     """Remove white space and invisible characters at both ends."""
-    return F.regexp_replace(c, _EDGES, "")
+    return F.btrim(c, F.lit(_EDGES))
 
 
 def key(c: Column) -> Column:
     """A reference as compared: without surrounding white space and letter case; blank gives null."""
-    out = F.lower(strip(c))
-    return F.when(out != "", out)
+    return F.nullif(F.lower(strip(c)), F.lit(""))
 
 
 def visible(c: Column) -> Column:

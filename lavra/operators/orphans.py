@@ -3,8 +3,9 @@
 A Bloom filter of all parent keys, folded into a bit array inside Spark and handed to every task as
 one scalar, proves most orphans at once: a key the filter has never seen has no parent. Only the
 references that pass it go into the exact join, which also looks at the validity spans. The filter's
-size is bounded (max_bits); with more parents than it was made for it lets more references through,
-and the exact join still decides rightly.
+size is bounded (max_bits, 8 MB, made for seven million parents); with more of them it lets more
+references through, and the exact join still decides rightly. A parent's row has as many spans as its
+table has distinct rows for that id.
 
 Edge cases: null or blank references are no references; a reference without an instant of reception
 can't be judged and is left out; identical repeated rows of events or parents change nothing; an
@@ -45,7 +46,7 @@ def bloom_words(keys: DataFrame, bits: int) -> DataFrame:
     """One row, one column `words`: the filter of the column `k` as an array of bits / 64 longs."""
     spark = keys.sparkSession
     set_bits = keys.select(F.explode(F.array(*[_position(i, F.col("k"), bits) for i in range(_HASHES)])).alias("p")).select(
-        F.floor(F.col("p") / 64).alias("w"), F.expr("shiftleft(1L, cast(p % 64 as int))").alias("b")
+        F.shiftright("p", 6).alias("w"), F.expr("shiftleft(1L, cast(p % 64 as int))").alias("b")
     )
     empty = spark.range(bits // 64).select(F.col("id").alias("w"), F.lit(0).cast("bigint").alias("b"))
     dense = set_bits.unionByName(empty).groupBy("w").agg(F.bit_or("b").alias("b"))
@@ -53,16 +54,16 @@ def bloom_words(keys: DataFrame, bits: int) -> DataFrame:
 
 
 def might_contain(words: Column, k: Column, bits: int) -> Column:
-    """False only for keys that are not in the filter."""
+    """False only for keys that are not in the filter. A subquery given as `words` is computed once, whatever the number of hashes."""
     out = F.lit(True)
     for i in range(_HASHES):
         p = _position(i, k, bits)
-        out = out & (F.getbit(F.get(words, F.floor(p / 64).cast("int")), (p % 64).cast("int")) == 1)
+        out = out & (F.getbit(F.get(words, F.shiftright(p, 6).cast("int")), p.bitwiseAND(F.lit(63)).cast("int")) == 1)
     return out
 
 
-def filter_bits(n: int, per_key: int = 10, most: int = 1 << 24) -> int:
-    """A power of two of about per_key bits for each of n keys, 2 MB at most."""
+def filter_bits(n: int, per_key: int = 10, most: int = 1 << 26) -> int:
+    """A power of two of about per_key bits for each of n keys, 8 MB at most."""
     bits = 1 << 12
     while bits < min(n * per_key, most):
         bits *= 2
@@ -70,13 +71,15 @@ def filter_bits(n: int, per_key: int = 10, most: int = 1 << 24) -> int:
 
 
 def orphans(
-    children: DataFrame, references: list[Reference], child_id: str = "id", at: str = "recebido_em", max_bits: int = 1 << 24
+    children: DataFrame, references: list[Reference], child_id: str = "id", at: str = "recebido_em", max_bits: int = 1 << 26, small: int = 50_000
 ) -> DataFrame:
     """campo, mes, registro, chave, motivo (nunca_existiu, fora_do_periodo), one row per orphan reference.
 
-    `mes` is the UTC month of `at`, yyyy-mm; distinct rows only.
+    `mes` is the UTC month of `at`, yyyy-mm; distinct rows only. The children are read once: a reference
+    that the filter has proved an orphan goes on under a key of its own that no parent has, so that hot
+    ones are spread; the others meet their parents. Up to `small` parents (counted) are broadcast, more
+    are joined by shuffle, where adaptive execution splits hot keys.
     """
-    spark = children.sparkSession
     parents = None
     for r in references:
         one = r.parents.select(
@@ -84,31 +87,24 @@ def orphans(
         ).where("chave is not null")
         parents = one if parents is None else parents.unionByName(one)
     # several rows per id become one, with its distinct spans
-    spans = parents.groupBy("campo", "chave").agg(F.collect_set(F.struct("b", "e")).alias("spans"))
-    keys = parents.select(F.concat_ws("\u0001", "campo", "chave").alias("k")).distinct()
-    bits = filter_bits(keys.count(), most=max_bits)
+    spans = parents.groupBy(F.concat_ws("\u0001", "campo", "chave").alias("k")).agg(F.collect_set(F.struct("b", "e")).alias("spans"))
+    keys = spans.select("k")
+    n = keys.count()
+    bits = filter_bits(n, most=max_bits)
     fields = [F.struct(F.lit(r.field).alias("campo"), key(F.col(r.field).cast("string")).alias("chave")) for r in references]
     refs = (
         children.select(F.col(child_id).cast("string").alias("registro"), F.col(at).alias("at"), F.explode(F.array(*fields)).alias("x"))
-        .select("registro", "at", "x.campo", "x.chave")
+        .select("registro", "at", "x.campo", "x.chave", F.concat_ws("\u0001", "x.campo", "x.chave").alias("k"))
         .where("chave is not null and at is not null")
-        .withColumn("talvez", might_contain(bloom_words(keys, bits).scalar(), F.concat_ws("\u0001", "campo", "chave"), bits))
     )
-    month = F.date_format(F.col("at"), "yyyy-MM").alias("mes")
-    never = refs.where(~F.col("talvez")).select("campo", month, "registro", "chave", F.lit("nunca_existiu").alias("motivo"))
+    proved = ~might_contain(bloom_words(keys, bits).scalar(), F.col("k"), bits)
+    refs = refs.withColumn("k", F.when(proved, F.concat(F.lit("\u0000"), F.coalesce("registro", F.lit("")))).otherwise(F.col("k")))
     valid = F.exists(
         "spans", lambda s: (s["b"].isNull() | (s["b"] <= F.col("at"))) & (s["e"].isNull() | (F.col("at") < s["e"]))
     )
-    checked = (
-        refs.where("talvez")
-        .join(spans, ["campo", "chave"], "left")
-        .where(F.col("spans").isNull() | ~valid)
-        .select(
-            "campo", month, "registro", "chave",
-            F.when(F.col("spans").isNull(), "nunca_existiu").otherwise("fora_do_periodo").alias("motivo"),
-        )
-    )
-    return never.unionByName(checked).distinct()
+    checked = refs.join(F.broadcast(spans) if n <= small else spans, "k", "left").where(F.col("spans").isNull() | ~valid)
+    reason = F.when(F.col("spans").isNull(), "nunca_existiu").otherwise("fora_do_periodo").alias("motivo")
+    return checked.select("campo", F.date_format(F.col("at"), "yyyy-MM").alias("mes"), "registro", "chave", reason).distinct()
 
 
 def orphan_report(children: DataFrame, references: list[Reference], child_id: str = "id", at: str = "recebido_em") -> DataFrame:
