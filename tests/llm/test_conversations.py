@@ -1,3 +1,5 @@
+import datetime as dt
+import math
 import random
 
 from lavra.llm import conversations as c
@@ -57,40 +59,78 @@ def test_a_conversation_over_many_days_and_zones(spark):
     assert [r["message"] for r in got] == [f"c{i}" for i in range(20)]
 
 
+def named(silences, start="2024-01-01T10:00:00Z"):
+    """Rows of one person's named conversations: (seconds since the message before, name)."""
+    at, rows = dt.datetime.fromisoformat(start), []
+    for i, (gap, name) in enumerate(silences):
+        at += dt.timedelta(seconds=gap)
+        rows.append(row(i, f"n{i}", name, at.isoformat(), ("prompt", "resposta")[i % 2], "a" if i % 2 == 0 else None, "b" if i % 2 else None))
+    return rows
+
+
+def brute_sessions(rows, step):
+    """Sizes of the sessions of each channel, by the seconds between consecutive rows."""
+    by, out = {}, []
+    for x in rows:
+        by.setdefault(x[8:11], []).append(dt.datetime.fromisoformat(x[3]).timestamp())
+    for k, ats in by.items():
+        ats.sort()
+        sizes = [1]
+        for a, b in zip(ats, ats[1:]):
+            if math.floor(math.log2(int(b - a) + 1.5) * 4) > step:
+                sizes.append(0)
+            sizes[-1] += 1
+        out += [("\u0001".join(k), n) for n in sizes]
+    return sorted(out)
+
+
 def test_unnamed_rows_are_split_at_silences(spark):
     at = ["10:00:00", "10:00:30", "10:01:00", "10:01:20", "18:00:00"]
     rows = [row(i, f"u{i}", None, f"2024-01-01T{t}Z", "prompt" if i % 2 == 0 else "resposta", "a", "b") for i, t in enumerate(at)]
-    got = sorted((r["n_mensagens"], r["completa"]) for r in c.unnamed_sessions(spark.createDataFrame(rows, SCHEMA)).collect())
-    assert got == [(1, False), (4, True)]
+    df = spark.createDataFrame(rows, SCHEMA)
+    assert sorted((r["n_mensagens"], r["completa"]) for r in c.session_report(c.sessions(df)).collect()) == [(1, False), (4, True)]
+    # the broken session goes, the whole one is in order with its roles
+    assert [(r["position"], r["message"], r["role"]) for r in c.rebuilt(df).orderBy("position").collect()] == [(1, "u0", "p"), (2, "u1", "r"), (3, "u2", "p"), (4, "u3", "r")]
 
 
 def test_the_gap_is_learned_from_named_conversations(spark):
-    # replies after 60 s and, across midnight, after 90 s: the 95th percentile is 90 s and the gap 900 s
-    named = [("2024-01-01T10:00:00Z", "2024-01-01T10:01:00Z"), ("2024-01-01T23:59:30Z", "2024-01-02T00:01:00Z")]
-    rows = [row(2 * i + j, f"n{i}{j}", f"P{i}", t, ("prompt", "resposta")[j], "a" if j == 0 else None, "b" if j else None) for i, ts in enumerate(named) for j, t in enumerate(ts)]
-    rows += [row(10 + i, f"u{i}", None, f"2024-03-01T{t}Z", None, None, None)[:7] + ("Prompt", "u", "m", "d", "clash") for i, t in enumerate(["10:00:00", "10:15:00", "10:30:01", "10:45:02"])]
-    got = sorted(r["n_mensagens"] for r in c.unnamed_sessions(spark.createDataFrame(rows, SCHEMA)).collect())
-    assert got == [1, 1, 2]
+    # up to 20 minutes within, over three hours between; over midnight too
+    rows = named([(0, "A"), (60, "A"), (1200, "A"), (90, "A"), (3 * 3600, "B"), (1000, "B"), (12 * 3600, "C"), (5, "C")])
+    got = c.fit_gap(c.silences(spark.createDataFrame(rows, SCHEMA))).first().asDict()
+    assert got == {"passo": math.floor(math.log2(1201.5) * 4), "mesmas": 5, "outras": 2, "acertos_mesmas": 5, "acertos_outras": 2}
+    rng = random.Random(7)
+    for u in range(20):
+        minutes = sorted(rng.sample(range(6 * 1440), rng.choice([1, 5, 40, 120])))
+        rows += [(1000 * u + i, f"u{u}-{i}", None, f"2024-03-{1 + m // 1440:02d}T{m // 60 % 24:02d}:{m % 60:02d}:00+00:00", None, None, None, "Prompt", f"u{u}", "m", "d", "clash") for i, m in enumerate(minutes)]
+    m = c.sessions(spark.createDataFrame(rows, SCHEMA))
+    assert sorted((r["channel"], r["n_mensagens"]) for r in c.session_report(m).collect()) == brute_sessions(rows[8:], got["passo"])
+    order = m.toPandas().sort_values(["channel", "at"])
+    assert (order.groupby(["channel", "begins"]).position.diff().dropna() == 1).all() and (order.groupby(["channel", "begins"]).position.min() == 1).all()
+    assert c.fit_gap(c.silences(spark.createDataFrame(rows[:4], SCHEMA))).first()["passo"] == c.HOUR  # one kind of silences only
 
 
 def test_sessions_go_on_over_midnight(spark):
-    rng, rows = random.Random(7), [row(0, "a", None, "2024-01-01T23:59:00Z", "prompt", "a", None), row(1, "b", None, "2024-01-02T00:01:00Z", "resposta", None, "b")]
-    got = c.unnamed_sessions(spark.createDataFrame(rows, SCHEMA)).collect()
+    rows = [row(0, "a", None, "2024-01-01T23:59:00Z", "prompt", "a", None), row(1, "b", None, "2024-01-02T00:01:00Z", "resposta", None, "b")]
+    got = c.session_report(c.sessions(spark.createDataFrame(rows, SCHEMA))).collect()
     assert [(r["n_mensagens"], r["n_prompts"], r["n_respostas"], r["completa"]) for r in got] == [(2, 1, 1, True)]
-    # replies after 20 minutes in named conversations: the gap is 200 minutes, and days hold several sessions or none
-    rows = [row(i, f"n{i}", "P", f"2024-01-01T10:{20 * i:02d}:00Z", ("prompt", "resposta")[i], "a" if i == 0 else None, "b" if i else None) for i in range(2)]
-    expected = []
-    for u in range(20):
-        minutes, sizes, last = sorted(rng.sample(range(6 * 1440), rng.choice([1, 5, 40, 120]))), [], None
-        for i, m in enumerate(minutes):
-            sizes = [*sizes[:-1], sizes[-1] + 1] if last is not None and m - last <= 200 else [*sizes, 1]
-            last = m
-            rows.append((1000 * u + i, f"u{u}-{i}", None, f"2024-03-{1 + m // 1440:02d}T{m // 60 % 24:02d}:{m % 60:02d}:00Z", None, None, None, "Prompt", f"u{u}", "m", "d", "clash"))
-        expected += [(f"u{u}\u0001m\u0001d", n) for n in sizes]
-    got = c.unnamed_sessions(spark.createDataFrame(rows, SCHEMA)).orderBy("channel", "begins").collect()
-    assert sorted((r["channel"], r["n_mensagens"]) for r in got) == sorted(expected)
+
+
+def test_named_conversations_are_found_again_without_their_names(spark):
+    rng, silences = random.Random(9), []
+    for k in range(300):
+        for i in range(rng.choice([2, 4, 6])):
+            long = rng.random() < 0.05
+            silences.append((rng.randint(5, 120) if i and not long else rng.randint(600, 3000) if i else int(10 ** rng.uniform(4.3, 6)), f"P{k}"))
+    df = spark.createDataFrame(named(silences), SCHEMA)
+    wanted, got = {}, {}
+    for r in c.named_conversations(df).orderBy("position").collect():
+        wanted.setdefault(r["channel"], []).append(r["message"])
+    for r in c.rebuilt(df, unnamed_only=False).orderBy("position").collect():
+        got.setdefault((r["channel"], r["begins"]), []).append(r["message"])
+    a, b = set(map(tuple, wanted.values())), set(map(tuple, got.values()))
+    assert len(a & b) >= 0.9 * len(a) and len(a & b) >= 0.9 * len(b) and len(a) == 300
 
 
 def test_empty(spark):
     assert c.named_conversations(spark.createDataFrame([], SCHEMA)).count() == 0
-    assert c.unnamed_sessions(spark.createDataFrame([], SCHEMA)).count() == 0
+    assert c.sessions(spark.createDataFrame([], SCHEMA)).count() == 0 and c.rebuilt(spark.createDataFrame([], SCHEMA)).count() == 0
