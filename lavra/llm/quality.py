@@ -40,18 +40,15 @@ COMMON = {
 }
 _WORD = re.compile(r"[^\W\d_]+(?:['’\-][^\W\d_]+)*")
 _BULLET = re.compile(r"^\s*(?:[-–—•*·‣▪◦●○+»>]\s+|\[[ xX]?\]\s*|\(?\d{1,4}[.)\]ºª]\s*|\(?[a-zA-Z][.)]\s+|\(?[ivxIVX]{1,5}[.)]\s+|(?:passo|item|art\.?|§)\s*\d+\s*[:.\-)]?\s*)(?=\S)", re.I)
-_CELLS = re.compile(r"[|│┃¦]")
 _GAPS = re.compile(r"\S(?: {2,}|\t+)(?=\S)")
-_END = re.compile(r"[.!?…:;\"”')\]]\s*$")
+_END = frozenset(".!?…:;\"”')]")
 _INNER = re.compile(r"[.!?]\s+\S")
 _RULER = re.compile(r"^[\s|+:\-=─┼│]+$")
 _HEX = re.compile(r"^[0-9a-fA-F]{6,8}\s+(?:[0-9a-fA-F]{2}\s+){4,}")
 _TAG = re.compile(r"</?t[dhr]\b", re.I)
-_SENTENCE = re.compile(r"(?<=[.!?])\s+|\n+")
 _VISIBLE = re.compile(r"[^\s\x00-\x1f\x7f\u00ad\u200b-\u200f\u2060\ufeff\u2800]")
 
 _CRUMBS = re.compile(r"\s>\s")
-_PIECES = re.compile(r"[\s<>|│;,]+")
 
 FEATURES = (
     "n_chars", "n_words", "mean_word", "symbol_share", "digit_share", "letter_share", "upper_share", "space_share", "n_lines", "mean_line", "line_variation",
@@ -61,47 +58,80 @@ FEATURES = (
 )
 
 
-def common_share(low: list[str]) -> float:
-    """The largest share that the function words of one language have."""
-    return max(sum(w in c for w in low) for c in COMMON.values()) / max(1, len(low))
+_FUNCTION_WORDS = frozenset().union(*COMMON.values())
+
+
+def common_share(said: Counter, n: int) -> float:
+    """The largest share that the function words of one language have among n words, given with their counts."""
+    hits = [(w, said[w]) for w in said.keys() & _FUNCTION_WORDS]
+    return max(sum(k for w, k in hits if w in c) for c in COMMON.values()) / max(1, n)
 
 
 def _inline(line: str) -> bool:
     """Entries one after the other in a line, between slashes, semicolons, bars or commas."""
-    if _INNER.search(line):
+    if line.count(" ") < 3 or _INNER.search(line):
         return False
     for sep, least in ((" / ", 4), ("; ", 4), (" | ", 4), (" • ", 4), (" · ", 4), (", ", 5)):
+        if line.count(sep) < least - 1:
+            continue
         pieces = line.split(sep)
-        if len(pieces) >= least and len(line) / len(pieces) <= 50 and max(map(len, pieces)) <= 110:
-            return sep != ", " or common_share([w.lower() for w in _WORD.findall(line)]) < 0.36
+        if len(line) / len(pieces) <= 50 and max(map(len, pieces)) <= 110:
+            if sep != ", ":
+                return True
+            low = _WORD.findall(line.lower())
+            return common_share(Counter(low), len(low)) < 0.36
     return False
 
 
+def _cells(line: str) -> int:
+    return line.count("|") + line.count("│") + line.count("┃") + line.count("¦")
+
+
+def _gaps(line: str) -> bool:
+    """Whether there is a wide gap inside the line."""
+    return ("  " in line or "\t" in line) and _GAPS.search(line.strip()) is not None
+
+
 def _line_kind(line: str, columns: Counter) -> str:
     """t (cells), l (marked or inline entries), c (a menu path), p (none of these)."""
-    if len(_CRUMBS.findall(line)) >= 2:
+    if line.count(">") >= 2 and len(_CRUMBS.findall(line)) >= 2:
         return "c"
-    if len(_TAG.findall(line)) >= 2 or len(_CELLS.findall(line)) >= 2 or line.count("\t") >= 1 and columns["\t", line.count("\t")] >= 2:
+    tabs, semicolons, commas = line.count("\t"), line.count(";"), line.count(",")
+    if "<" in line and len(_TAG.findall(line)) >= 2 or _cells(line) >= 2 or tabs >= 1 and columns["\t", tabs] >= 2:
         return "t"
-    if line.count(";") >= 2 and columns[";", line.count(";")] >= 2 and "; " not in line and not line.rstrip().endswith(";"):
+    if semicolons >= 2 and columns[";", semicolons] >= 2 and "; " not in line and not line.rstrip().endswith(";"):
         return "t"
-    if line.count(",") >= 2 and columns[",", line.count(",")] >= 2 and ", " not in line:
+    if commas >= 2 and columns[",", commas] >= 2 and ", " not in line:
         return "t"
-    if columns["gap"] >= 2 and (_GAPS.search(line.strip()) or line.startswith("   ")) and not _INNER.search(line.replace("  ", "")):
+    if columns["gap"] >= 2 and (_gaps(line) or line.startswith("   ")) and not _INNER.search(line.replace("  ", "")):
         return "t"
     if _BULLET.match(line) and len(line) < 400 and not re.search(r"\?\s+[-–—]\s", line) or _inline(line):
         return "l"
     return "p"
 
 
-def _kinds(lines: list[str], lens: np.ndarray, common: float) -> tuple[dict[str, float], float]:
+def _sentences(t: str) -> list[str]:
+    """Pieces between line ends and the marks at the end of a sentence, without the blanks around them."""
+    for mark in ".!?":
+        t = t.replace(mark + " ", mark + "\n")
+    return [x for x in map(str.strip, t.split("\n")) if x]
+
+
+def _longest(t: str) -> int:
+    """Characters of the longest piece without white space, brackets, bars and commas."""
+    for mark in "<>|│;,":
+        t = t.replace(mark, " ")
+    return max(map(len, t.split()), default=0)
+
+
+def _kinds(lines: list[str], lens: list[int], common: float) -> tuple[dict[str, float], float]:
     """Characters of the lines by kind (p: prose, u: short unmarked entries), and the share of lines that end where the next word would not fit."""
     columns: Counter = Counter()
     for x in lines:
         for sep in (";", "\t", ","):
             if c := x.count(sep):
                 columns[sep, c] += 1
-        if _GAPS.search(x.strip()):
+        if _gaps(x):
             columns["gap"] += 1
     chars = dict.fromkeys("tlcpu", 0.0)
     if not lines:
@@ -120,7 +150,7 @@ def _kinds(lines: list[str], lens: np.ndarray, common: float) -> tuple[dict[str,
     for i in plain:
         x = lines[i]
         wrapped = flow > 0.5 and common >= 0.2 and (i in full or i - 1 in full)
-        sentence = _END.search(x) and x.rstrip()[-1] in ".!?…" or _INNER.search(x) or len(x) > 120
+        sentence = x.rstrip()[-1] in ".!?…" or _INNER.search(x) or len(x) > 120
         (entries if not wrapped and not sentence else []).append(i)
         if wrapped or sentence:
             chars["p"] += lens[i]
@@ -135,33 +165,42 @@ def statistics(text: str | None) -> tuple[list[float], str]:
     n = len(t)
     if not n or not _VISIBLE.search(t):
         return [0.0] * len(FEATURES), "lixo"
-    low = [w.lower() for w in _WORD.findall(t)]
+    low = _WORD.findall(t.lower())
+    said = Counter(low)
     letters = sum(map(len, low))
     chars = Counter(t)
-    digits = sum(k for c, k in chars.items() if c.isdigit())
-    spaces = sum(k for c, k in chars.items() if c.isspace())
-    upper = sum(k for c, k in chars.items() if c.isupper())
-    odd = sum(k for c, k in chars.items() if c == "\ufffd" or "\x80" <= c <= "\x9f" or c in "ÃÂâ€œ§©")
-    vowels = sum(k for c, k in chars.items() if c.lower() in "aeiouáéíóúâêôãõàü")
+    digits = spaces = upper = odd = vowels = 0
+    for c, k in chars.items():
+        if c.isdigit():
+            digits += k
+        elif c.isspace():
+            spaces += k
+        elif c.isupper():
+            upper += k
+        if c == "\ufffd" or "\x80" <= c <= "\x9f" or c in "ÃÂâ€œ§©":
+            odd += k
+        if c.lower() in "aeiouáéíóúâêôãõàü":
+            vowels += k
     lines = [x for x in t.split("\n") if x.strip()]
-    lens = np.array([len(x) for x in lines], float)
+    lens = list(map(len, lines))
     m = max(1, len(lines))
-    common = common_share(low)
+    common = common_share(said, len(low))
     kinds, flow = _kinds(lines, lens, common)
     total = max(1.0, sum(kinds.values()))
-    sentences = [x.strip() for x in _SENTENCE.split(t) if x.strip()]
-    said = Counter(low)
+    sentences = _sentences(t)
+    mean = sum(lens) / m
+    variation = (max(0.0, sum(x * x for x in lens) / m - mean * mean)) ** 0.5 / mean if lens else 0.0
     values = [
         n, len(low), letters / max(1, len(low)), (n - letters - digits - spaces) / n, digits / n, letters / n, upper / max(1, letters), spaces / n,
-        len(lines), float(lens.mean()) if len(lens) else 0.0, float(lens.std() / lens.mean()) if len(lens) else 0.0,
-        sum(1 for x in lines if _END.search(x)) / m, sum(1 for x in lines if _INNER.search(x)) / m, common,
-        len(said) / max(1.0, (2 * len(low)) ** 0.5), said.most_common(1)[0][1] / len(low) if low else 0.0, len(low) / max(1, len(said)),
-        sum(1 for x in lines if _BULLET.match(x)) / m, sum(1 for x in lines if len(_CELLS.findall(x)) >= 2) / m, len(_TAG.findall(t)) / n,
+        len(lines), mean, variation,
+        sum(1 for x in lines if x.rstrip()[-1] in _END) / m, sum(1 for x in lines if _INNER.search(x)) / m, common,
+        len(said) / max(1.0, (2 * len(low)) ** 0.5), max(said.values()) / len(low) if low else 0.0, len(low) / max(1, len(said)),
+        sum(1 for x in lines if _BULLET.match(x)) / m, sum(1 for x in lines if _cells(x) >= 2) / m, len(_TAG.findall(t)) / n if "<" in t else 0.0,
         sum(bool(_HEX.match(x)) for x in lines) / m,
         1 - sum(map(len, set(lines))) / total, 1 - sum(map(len, set(sentences))) / max(1, sum(map(len, sentences))),
-        vowels / max(1, letters), sum(k for w, k in said.items() if len(w) > 18) / max(1, len(low)), max(map(len, _PIECES.split(t)), default=0),
+        vowels / max(1, letters), sum(k for w, k in said.items() if len(w) > 18) / max(1, len(low)), _longest(t),
         kinds["t"] / total, kinds["l"] / total, kinds["u"] / total, kinds["p"] / total, kinds["c"] / total, odd / n,
-        len(low) / max(1, len(sentences)), float((lens < 60).mean()) if len(lens) else 0.0, flow,
+        len(low) / max(1, len(sentences)), sum(1 for x in lens if x < 60) / m if lens else 0.0, flow,
     ]
     return [float(v) for v in values], _weak(dict(zip(FEATURES, values)))
 
@@ -189,20 +228,22 @@ def _weak(f: dict) -> str:
 # ---- over tables
 
 
-def document_statistics(df: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """<key>, the FEATURES (double), fraca (weak label)."""
+def document_statistics(df: DataFrame, key: str = "doc_id", text: str = "text", extra: list[str] | None = None) -> DataFrame:
+    """<key>, the extra columns, the FEATURES (double), fraca (weak label)."""
+    extra = extra or []
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
             got = [statistics(t) for t in pdf["_text"]]
             out = pd.DataFrame([v for v, _ in got], columns=list(FEATURES), dtype=float)
-            out.insert(0, key, pdf[key].to_numpy())
+            for i, c in enumerate([key, *extra]):
+                out.insert(i, c, pdf[c].to_numpy())
             out["fraca"] = [k for _, k in got]
             yield out
 
-    src = df.where(F.col(key).isNotNull()).select(key, F.col(text).alias("_text"))
-    kind = dict(src.dtypes)[key]
-    return src.mapInPandas(run, f"`{key}` {kind}, " + ", ".join(f"{c} double" for c in FEATURES) + ", fraca string")
+    src = df.where(F.col(key).isNotNull()).select(key, *extra, F.col(text).alias("_text"))
+    kinds = ", ".join(f"`{c}` {t}" for c, t in src.drop("_text").dtypes)
+    return src.mapInPandas(run, f"{kinds}, " + ", ".join(f"{c} double" for c in FEATURES) + ", fraca string")
 
 
 def hand_checked(labels: DataFrame, key: str = "doc_id", label: str = "classe") -> DataFrame:
@@ -212,14 +253,14 @@ def hand_checked(labels: DataFrame, key: str = "doc_id", label: str = "classe")
 
 
 def train(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "text", sample: int = SAMPLE, holdout: int = HOLDOUT) -> gbt.Boosted | None:
-    """Trees on at most about `sample` weakly labelled documents, calibrated on at most `holdout` hand-checked ones."""
+    """Trees on at most about `sample` weakly labelled documents, calibrated on at most `holdout` hand-checked ones. Both are taken in one scan."""
     n = docs.count()
-    part = min(1.0, sample / max(1, n))
-    some = docs.where(F.pmod(F.xxhash64(F.col(key)), F.lit(1_000_000)) < int(part * 1_000_000)) if part < 1 else docs
-    checked = hand_checked(labels, key).orderBy(F.xxhash64(key)).limit(holdout)
-    weak = document_statistics(some, key, text).toPandas()
-    held = document_statistics(docs.join(F.broadcast(checked.select(key)), key, "left_semi"), key, text).toPandas()
-    held = held.merge(checked.toPandas(), on=key)
+    part = int(min(1.0, sample / max(1, n)) * 1_000_000)
+    checked = hand_checked(labels, key).orderBy(F.xxhash64(key)).limit(holdout).withColumnRenamed("classe", "_opiniao")
+    drawn = F.pmod(F.xxhash64(F.col(key)), F.lit(1_000_000)) < part
+    some = docs.select(key, F.col(text).alias("_texto")).join(F.broadcast(checked), key, "left").where(drawn | F.col("_opiniao").isNotNull())
+    got = document_statistics(some.withColumn("_sorteado", drawn), key, "_texto", ["_sorteado", "_opiniao"]).toPandas()
+    weak, held = got[got["_sorteado"]], got[got["_opiniao"].notna()]
     x, y = weak[list(FEATURES)].to_numpy(), np.array([CLASSES.index(k) for k in weak["fraca"]], dtype=int)
     if len(y) < 20 or len(set(y)) < 2:
         return None
@@ -227,7 +268,7 @@ def train(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "
     counts = np.bincount(y, minlength=len(CLASSES))
     weight = np.minimum(5.0, counts.max() / np.maximum(1, 3 * counts))[y]
     model = gbt.fit(x, y, len(CLASSES), np.maximum(1.0, weight))
-    return gbt.calibrate(model, held[list(FEATURES)].to_numpy(), np.array([CLASSES.index(k) for k in held["classe"]], dtype=int))
+    return gbt.calibrate(model, held[list(FEATURES)].to_numpy(), np.array([CLASSES.index(k) for k in held["_opiniao"]], dtype=int))
 
 
 def classify(docs: DataFrame, model: gbt.Boosted | None, key: str = "doc_id", text: str = "text") -> DataFrame:
