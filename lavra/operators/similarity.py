@@ -108,7 +108,11 @@ def _permute(a: np.ndarray, b: np.ndarray, h: np.ndarray) -> np.ndarray:
     return _mod(np.uint64(2) * a1 * h1 + ((mid & np.uint64((1 << 30) - 1)) << half) + (mid >> np.uint64(30)) + a0 * h0 + b)
 
 
-def minhash(shingle_hashes: Column, permutations: int = 128, seed: int = 24301) -> Column:
+#: The permutations are drawn from the digits of pi; any other seed would do, as long as all signatures share it.
+SEED = 31_415_926
+
+
+def minhash(shingle_hashes: Column, permutations: int = 128, seed: int = SEED) -> Column:
     """array<bigint>: the least value of each permutation (a h + b) mod 2^61 - 1 over the set, h the hashes modulo the same prime; empty for an empty set."""
     rng = np.random.default_rng(seed)
     a, b = rng.integers(1, _PRIME, permutations, dtype=np.uint64), rng.integers(0, _PRIME, permutations, dtype=np.uint64)

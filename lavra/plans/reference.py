@@ -413,36 +413,6 @@ def signatures(spark, d):
     return s.select("doc_id", F.size("s").alias("n"), F.lower(F.hex(S.simhash(F.col("s")))).alias("simhash"), F.array_join(S.minhash(F.col("s")), "-").alias("minhash"))
 
 
-_RX = {k: v.replace("'", "''") for k, v in detect.PATTERNS.items()}
-
-
-@query("detector_counts", f"""SELECT doc_id, CAST(LEN(REGEXP_EXTRACT_ALL(text, '{_RX["email"]}')) AS BIGINT) AS email, CAST(LEN(REGEXP_EXTRACT_ALL(text, '{_RX["credencial"]}')) AS BIGINT) AS credencial, CAST(LEN(REGEXP_EXTRACT_ALL(text, '{_RX["chave_pix_aleatoria"]}')) AS BIGINT) AS chave FROM documents""")
-def detector_counts(spark, d):
-    t = F.col("text")
-    return table(spark, d, "documents").select("doc_id", *[F.size(detect.matches(t, k)).cast("bigint").alias(a) for k, a in (("email", "email"), ("credencial", "credencial"), ("chave_pix_aleatoria", "chave"))])
-
-
-@query("detections_by_kind")
-def detections_by_kind(spark, d):
-    x = table(spark, d, "capturas").select(detect.detect(F.concat_ws(" ", "previa", "titulo")).alias("f"))
-    return x.select(F.explode("f").alias("x")).groupBy("x.tipo").agg(F.count("*").alias("textos"), F.sum("x.contagem").alias("total"))
-
-
-@query("published_previews", r"""SELECT seq, REGEXP_REPLACE(REGEXP_REPLACE(REGEXP_REPLACE(REGEXP_REPLACE(previa, '\b\d{3}\.?\d{3}\.?\d{3}-?\d{2}\b', '[CPF]', 'g'), '\b\d{2}\.?\d{3}\.?\d{3}/?\d{4}-?\d{2}\b', '[CNPJ]', 'g'), '\b(?:\d[ -]?){13,16}\b', '[cartão]', 'g'), '\b\d{6,}\b', '[número]', 'g') AS previa FROM capturas""")
-def published_previews(spark, d):
-    return table(spark, d, "capturas").select("seq", detect.publish(F.col("previa")).alias("previa"))
-
-
-_NUMBERS = ["52998224725", "52998224726", "11111111111", "11222333000181", "11222333000182", "4539148803436467", "4539148803436468", "123"]
-
-
-@query("check_digits", """WITH n(d, cpf, cnpj, luhn) AS (VALUES ('52998224725', TRUE, FALSE, FALSE), ('52998224726', FALSE, FALSE, FALSE), ('11111111111', FALSE, FALSE, FALSE), ('11222333000181', FALSE, TRUE, FALSE), ('11222333000182', FALSE, FALSE, FALSE),
-  ('4539148803436467', FALSE, FALSE, TRUE), ('4539148803436468', FALSE, FALSE, FALSE), ('123', FALSE, FALSE, FALSE)) SELECT * FROM n""")
-def check_digits(spark, d):
-    n = spark.createDataFrame([(x,) for x in _NUMBERS], "d string")
-    return n.select("d", validators.cpf(F.col("d")).alias("cpf"), validators.cnpj(F.col("d")).alias("cnpj"), validators.luhn(F.col("d")).alias("luhn"))
-
-
 _RUN = "[0-9]+(?:[ ./-][0-9]+)*"
 # the same without going back: Java's stack does not hold long runs
 _RUN_JAVA = "[0-9]++(?:[ ./-][0-9]++)*+"
@@ -470,6 +440,76 @@ def _luhn(d: str) -> str:
     return f"(LENGTH({d}) BETWEEN 13 AND 19 AND LIST_SUM(LIST_TRANSFORM(RANGE(1, LENGTH({d}) + 1), LAMBDA i: CASE WHEN i % 2 = 1 THEN {one} WHEN {one} > 4 THEN {one} * 2 - 9 ELSE {one} * 2 END)) % 10 = 0)"
 
 
+def _found(text: str) -> dict[str, str]:
+    """The number of values of each kind in a text, in SQL of its own: nothing of it is taken from the detectors."""
+    d = "REGEXP_REPLACE(x, '[^0-9]', '', 'g')"
+    count = lambda rx, ok=None: f"CAST(COALESCE(LEN({f'LIST_FILTER(REGEXP_EXTRACT_ALL({text}, {rx}), LAMBDA x: {ok})' if ok else f'REGEXP_EXTRACT_ALL({text}, {rx})'}), 0) AS BIGINT)"
+    tax, card = "'[0-9]+(?:[./-][0-9]+)*'", "'[0-9]+(?:[ -][0-9]+)*'"
+    is_card = f"{_luhn(d)} AND NOT {_cpf(d)} AND NOT {_cnpj(d)}"
+    part = "[A-Za-z0-9_%+-]+"
+    host = "[A-Za-z0-9](?:[A-Za-z0-9-]*[A-Za-z0-9])?"
+    secret = "sk-[A-Za-z0-9_-]{20,}|gh[pousr]_[A-Za-z0-9]{30,}|A[KS]IA[A-Z0-9]{16}|-----BEGIN [A-Z ]*PRIVATE KEY-----|(?i:passphrase|password|passwd|pwd|senha|segredo|secret|token|api[ _-]?key) ?[:=] ?[^ \n]{8,}"
+    return {
+        "cpf": count(tax, f"NOT CONTAINS(x, '/') AND {_cpf(d)}"), "cnpj": count(tax, _cnpj(d)), "cartao": f"CAST(COALESCE(LEN(FLATTEN(LIST_TRANSFORM(REGEXP_EXTRACT_ALL({text}, {card}), LAMBDA y: CASE WHEN {is_card.replace('(x,', '(y,')} THEN [y] ELSE LIST_FILTER(STRING_SPLIT(y, ' '), LAMBDA x: {is_card}) END))), 0) AS BIGINT)",
+        "email": count(f"'{part}(?:\\.{part})*@{host}(?:\\.{host})+'"),
+        "telefone": count(r"'(?:(?:\B\+|\b)55[ .-]?(?:\([1-9][0-9]\)|[1-9][0-9])|\B\([1-9][0-9]\)|\b[1-9][0-9])[ .-]?(?:9[ .-]?[0-9]{4}|[2-5][0-9]{3})[ .-]?[0-9]{4}\b'"),
+        "chave_pix_aleatoria": count("'[0-9A-Za-z]+(?:-[0-9A-Za-z]+)*'", "REGEXP_FULL_MATCH(x, '[0-9a-fA-F]{8}-[0-9a-fA-F]{4}-[0-9a-fA-F]{4}-[0-9a-fA-F]{4}-[0-9a-fA-F]{12}')"),
+        "credencial": count(f"'{secret}'"),
+        "conta_bancaria": count("'(?i:ag(?:ência|encia|\\.)?[ :]{1,2}[0-9]{3,5}(?:-[0-9X])?[ ,;/-]{1,3}(?:conta(?: corrente)?|c/?c|cta\\.?)[ :]{1,2}[0-9.]{4,12}-?[0-9X])'"),
+        "iban_swift": f"CASE WHEN REGEXP_MATCHES({text}, '(?i)(?:^|[^a-z])(?:swift|bic|iban)(?:[^a-z]|$)') THEN {count(chr(39) + '[A-Z0-9]+' + chr(39), 'REGEXP_FULL_MATCH(x, ' + chr(39) + '[A-Z]{2}[0-9]{2}[A-Z0-9]{11,30}|[A-Z]{6}[A-Z0-9]{2}(?:[A-Z0-9]{3})?' + chr(39) + ')')} ELSE 0 END",
+    }
+
+
+_COUNTS = ", ".join(f"{sql} AS {kind}" for kind, sql in _found("text").items())
+
+
+@query("detector_counts", f"SELECT doc_id, {_COUNTS} FROM documents")
+def detector_counts(spark, d):
+    """All kinds of detectors on documents; those with check digits count what is valid."""
+    return table(spark, d, "documents").select("doc_id", *[F.size(detect.matches(F.col("text"), k)).cast("bigint").alias(k) for k in detect.KINDS])
+
+
+@query("detections_by_kind", f"""WITH t AS (SELECT CONCAT_WS(' ', previa, titulo) AS text FROM capturas), c AS (SELECT {_COUNTS} FROM t), u AS (UNPIVOT c ON COLUMNS(*) INTO NAME tipo VALUE n)
+  SELECT tipo, COUNT(*) AS textos, CAST(SUM(n) AS BIGINT) AS total FROM u WHERE n > 0 GROUP BY 1""")
+def detections_by_kind(spark, d):
+    x = table(spark, d, "capturas").select(detect.detect(F.concat_ws(" ", "previa", "titulo")).alias("f"))
+    return x.select(F.explode("f").alias("x")).groupBy("x.tipo").agg(F.count("*").alias("textos"), F.sum("x.contagem").alias("total"))
+
+
+@query("edge_classes", f"""WITH t AS (SELECT CONCAT_WS(' ', previa, titulo) AS text FROM capturas), c AS (SELECT {_COUNTS} FROM t),
+  k AS (SELECT CASE WHEN credencial > 0 THEN 'Chave/API secret' WHEN cartao > 0 THEN 'Dado financeiro (cartão)' WHEN cpf > 0 THEN 'Dado pessoal (CPF)' WHEN conta_bancaria > 0 THEN 'Dado bancário' WHEN cnpj > 0 THEN 'Dado cadastral (CNPJ)'
+    WHEN chave_pix_aleatoria > 0 THEN 'Chave Pix' WHEN email > 0 OR telefone > 0 THEN 'Dado de contato' ELSE 'Conteúdo não classificado' END AS tipo, cpf + cartao + email + telefone + conta_bancaria AS p FROM c)
+  SELECT tipo, COUNT(*) AS n, CAST(SUM(p) AS BIGINT) AS pessoais FROM k GROUP BY 1""")
+def edge_classes(spark, d):
+    """Captures by the class that their detections give, with their personal values."""
+    f = table(spark, d, "capturas").select(detect.detect(F.concat_ws(" ", "previa", "titulo")).alias("f"))
+    return f.select(detect.classify(F.col("f"))["tipo"].alias("tipo"), detect.personal_total(F.col("f")).alias("p")).groupBy("tipo").agg(F.count("*").alias("n"), F.sum("p").alias("pessoais"))
+
+
+def _masked_runs(text: str, run: str, case: str) -> str:
+    pieces = f"LIST_TRANSFORM(REGEXP_EXTRACT_ALL({text}, '{run}|[^0-9]+'), LAMBDA x: CASE WHEN NOT REGEXP_MATCHES(x, '^[0-9]') THEN x {case} ELSE x END)"
+    return f"ARRAY_TO_STRING({pieces}, '')"
+
+
+_DIG = "LENGTH(REGEXP_REPLACE(x, '[^0-9]', '', 'g'))"
+_PUBLISH = lambda c: _masked_runs(
+    _masked_runs(c, "[0-9]+(?:[./-][0-9]+)*", f"WHEN {_DIG} = 11 AND NOT CONTAINS(x, '/') THEN '[CPF]' WHEN {_DIG} = 14 THEN '[CNPJ]' WHEN {_DIG} BETWEEN 13 AND 16 THEN '[cartão]' WHEN TRUE THEN REGEXP_REPLACE(x, '[0-9]{{6,}}', '[número]', 'g')"),
+    "[0-9]+(?:[ -][0-9]+)*", f"WHEN {_DIG} BETWEEN 13 AND 16 THEN '[cartão]'",
+)
+
+
+@query("published_previews", f"SELECT seq, {_PUBLISH('previa')} AS previa, {_PUBLISH('titulo')} AS titulo FROM capturas")
+def published_previews(spark, d):
+    return table(spark, d, "capturas").select("seq", *[detect.publish(F.col(c)).alias(c) for c in ("previa", "titulo")])
+
+
+@query("masked_counts")
+def masked_counts(spark, d):
+    """Documents with how many values the validated mask replaces."""
+    m = table(spark, d, "documents").select("doc_id", detect.mask(F.col("text")).alias("m"))
+    return m.select("doc_id", F.length("m.texto").alias("caracteres"), F.col("m.n").alias("n"))
+
+
 @query("check_digits_of_runs", f"""WITH t AS (SELECT 'previa' AS campo, previa AS x FROM capturas UNION ALL SELECT 'titulo', titulo FROM capturas UNION ALL SELECT 'text', text FROM documents),
   r AS (SELECT campo, UNNEST(REGEXP_EXTRACT_ALL(x, '{_RUN}')) AS r FROM t), n AS (SELECT campo, REGEXP_REPLACE(r, '[^0-9]', '', 'g') AS d, COUNT(*) AS n FROM r GROUP BY 1, 2)
   SELECT campo, d, n, {_cpf("d")} AS cpf, {_cnpj("d")} AS cnpj, {_luhn("d")} AS luhn FROM n""")
@@ -482,20 +522,6 @@ def check_digits_of_runs(spark, d):
     return n.select("campo", "d", "n", validators.cpf(F.col("d")).alias("cpf"), validators.cnpj(F.col("d")).alias("cnpj"), validators.luhn(F.col("d")).alias("luhn"))
 
 
-def _found(kind: str, ok=None) -> str:
-    found = f"REGEXP_EXTRACT_ALL(text, '{_RX[kind]}')"
-    d = "REGEXP_REPLACE(x, '[^0-9]', '', 'g')"
-    return f"CAST(COALESCE(LEN({f'LIST_FILTER({found}, LAMBDA x: {ok(d)})' if ok else found}), 0) AS BIGINT) AS {kind}"
-
-
-@query("detector_counts_all", "SELECT doc_id, " + ", ".join([
-    _found("cpf", _cpf), _found("cnpj", _cnpj), _found("cartao", lambda d: f"{_luhn(d)} AND NOT {_cpf(d)} AND NOT {_cnpj(d)}"), *[_found(k) for k in ("email", "telefone", "chave_pix_aleatoria", "credencial")],
-]) + " FROM documents")
-def detector_counts_all(spark, d):
-    """All kinds of detectors on documents; those with check digits count what is valid."""
-    return table(spark, d, "documents").select("doc_id", *[F.size(detect.matches(F.col("text"), k)).cast("bigint").alias(k) for k in detect.PATTERNS])
-
-
 @query("composite_keys", """SELECT DISTINCT CONCAT_WS(' | ', ferramenta, forma_uso, sensibilidade) AS assinatura, SHA256(CONCAT_WS(' | ', ferramenta, forma_uso, sensibilidade)) AS resumo, SPLIT_PART(regra_base, 'R', 2) AS numero FROM eventos""")
 def composite_keys(spark, d):
     k = F.concat_ws(" | ", "ferramenta", "forma_uso", "sensibilidade")
