@@ -78,8 +78,8 @@ def host_port(c: Column) -> Column:
 
 
 def json_strings(c: Column) -> Column:
-    """All string values inside a JSON text, in order; keys are left out, broken JSON gives none."""
+    """All string values inside a JSON text, in order, with their escapes decoded; keys are left out, broken JSON gives none."""
     # strings with what follows them; those before a colon are keys
-    found = F.regexp_extract_all(c, F.lit(r'"(?:[^"\\]|\\.)*"(?:\s*:)?'), F.lit(0))
-    values = F.transform(F.filter(found, lambda x: ~x.endswith(":") | x.endswith('"')), lambda x: F.substring(x, 2, F.length(x) - 2))
+    found = F.regexp_extract_all(c, F.lit(r'"(?:[^"\\]++|\\.)*+"(?:\s*:)?'), F.lit(0))
+    values = F.transform(F.filter(found, lambda x: x.endswith('"')), lambda x: F.get(F.from_json(F.concat(F.lit("["), x, F.lit("]")), "array<string>"), F.lit(0)))
     return F.when(F.try_parse_json(c).isNotNull(), values).otherwise(F.array().cast("array<string>"))

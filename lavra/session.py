@@ -29,11 +29,15 @@ def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
 
 
 def checkpoint_dir(spark: SparkSession) -> str:
-    """The shared folder named by spark.checkpoint.dir; only where it is unset (tests) a local one."""
+    """The shared folder named by spark.checkpoint.dir. A local one takes its place only in a local session; on a cluster a missing folder is an error."""
     folder = spark.conf.get("spark.checkpoint.dir", None)
     jsc = spark.sparkContext._jsc.sc()
     if jsc.getCheckpointDir().isEmpty():
-        folder = folder or tempfile.mkdtemp(prefix="lavra-checkpoint-")
+        if not folder:
+            master = spark.sparkContext.master
+            if not master.startswith("local") or master.startswith("local-cluster"):
+                raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
+            folder = tempfile.mkdtemp(prefix="lavra-checkpoint-")
         spark.sparkContext.setCheckpointDir(folder)
     return folder or jsc.getCheckpointDir().get()
 

@@ -31,17 +31,34 @@ def sanitise(df: DataFrame) -> DataFrame:
     })
 
 
-# Severity of the log to sensitivity, label to information type.
-SEVERITIES = {"low": "Interna", "medium": "Confidencial", "high": "Crítica", "informational": "Pública"}
+# Severity of the log to sensitivity, label to information type (a label that is not there has the default type).
+SEVERITIES = {"critical": "Crítica", "high": "Confidencial", "medium": "Interna", "low": "Pública"}
+LABELS = {
+    "PII-CPF": "INFO-003", "PII-Cartao": "INFO-004", "FIN-Resultado": "INFO-011", "SEC-Credencial": "INFO-018", "DEV-Codigo": "INFO-014",
+}
+DEFAULT_LABEL = "INFO-000"
+UPLOADS = ("IA-Generativa-Upload", "IA-Generativa-Colagem")
 
 
 def cef(lines: DataFrame, column: str = "value") -> DataFrame:
-    """Security log lines in the common event format: vendor, product, event, severity, sens, and the extension as a map."""
+    """Security log lines in the common event format: vendor, product, event, severity, sens, informacao_id by the label (cs1), politica (act), and the extension as a map.
+
+    An unknown severity gives Interna, an unknown label the default type.
+    """
     head = F.split(F.regexp_extract(column, r"CEF:\d\|(.*)$", 1), r"(?<!\\)\|", 7)
     ext = F.str_to_map(F.regexp_replace(F.get(head, F.lit(6)), r"\s(?=\w+=)", "\u0001"), F.lit("\u0001"), F.lit("="))
     level = F.create_map(*[F.lit(x) for kv in SEVERITIES.items() for x in kv])
     out = lines.where(F.col(column).rlike(r"CEF:\d\|")).select(F.get(head, F.lit(0)).alias("fornecedor"), F.get(head, F.lit(1)).alias("produto"), F.get(head, F.lit(4)).alias("evento"), F.lower(F.get(head, F.lit(5))).alias("severidade"), ext.alias("campos"))
-    return out.withColumn("sens", F.coalesce(F.try_element_at(level, F.col("severidade")), F.lit("Interna")))
+    label = F.create_map(*[F.lit(x) for kv in LABELS.items() for x in kv])
+    return out.withColumns({
+        "sens": F.coalesce(F.try_element_at(level, F.col("severidade")), F.lit("Interna")), "politica": F.col("campos.act"),
+        "informacao_id": F.coalesce(F.try_element_at(label, F.col("campos.cs1")), F.lit(DEFAULT_LABEL)),
+    })
+
+
+def uploads(events: DataFrame) -> DataFrame:
+    """Of cef events, those of the policies on generative tools; users may be missing."""
+    return events.where(F.col("politica").isin(*UPLOADS))
 
 
 def web_log(lines: DataFrame, column: str = "value") -> DataFrame:
@@ -56,6 +73,7 @@ def web_log(lines: DataFrame, column: str = "value") -> DataFrame:
 def connections(lines: DataFrame, column: str = "value") -> DataFrame:
     """Remote addresses and ports of a connection listing, with whether the address is public."""
     rx = r"(?i)^\s*tcp\d?\s+(?:\d+\s+\d+\s+)?(\S+)\s+(\S+)\s+(\w+)"
+    # BSD writes the port after a dot; it also has queue lengths before the addresses
     remote = F.regexp_extract(column, rx, 2)
     ip = F.regexp_replace(F.regexp_replace(remote, r"[:.](\d+|\*)$", ""), r"[\[\]]", "")
     out = lines.where(F.col(column).rlike(rx)).select(ip.alias("ip"), F.regexp_extract(remote, r"[:.](\d+)$", 1).try_cast("int").alias("porta"), F.upper(F.regexp_extract(column, rx, 3)).alias("estado"))
@@ -63,13 +81,16 @@ def connections(lines: DataFrame, column: str = "value") -> DataFrame:
 
 
 def is_public(ip: Column) -> Column:
-    """Neither private, loopback, link-local nor unspecified."""
-    return ~ip.rlike(r"(?i)^(10\.|127\.|169\.254\.|192\.168\.|172\.(1[6-9]|2\d|3[01])\.|0\.|::1$|::$|fe80:|f[cd][0-9a-f]{2}:|\*|$)")
+    """An address that can be reached from outside: version 6 but link-local and loopback; version 4, four numbers, none of the private blocks. Any other text is none."""
+    n = [F.regexp_extract(ip, r"^(\d+)\.(\d+)\.(\d+)\.(\d+)$", i).try_cast("int") for i in (1, 2)]
+    private = n[0].isin(10, 127) | ((n[0] == 192) & (n[1] == 168)) | ((n[0] == 172) & n[1].between(16, 31)) | ((n[0] == 169) & (n[1] == 254))
+    v6 = ~F.startswith(F.lower(ip), F.lit("fe80")) & (ip != "::1")
+    return F.coalesce(F.when(F.contains(ip, F.lit(":")), v6).otherwise(~private), F.lit(False))
 
 
 def dns_names(lines: DataFrame, column: str = "value") -> DataFrame:
-    """Host names of a resolver cache dump."""
-    found = F.regexp_extract_all(F.col(column), F.lit(r"(?i)(?:record name|nome do registro)[ .]*:\s*([a-z0-9.\-]+\.[a-z]{2,})"), F.lit(1))
+    """Every host name in a resolver cache dump, whatever the words before it."""
+    found = F.regexp_extract_all(F.lower(F.col(column)), F.lit(r"(?:^|[^a-z0-9.\-])((?:[a-z0-9](?:[a-z0-9\-]*[a-z0-9])?\.)+[a-z]{2,})(?![a-z0-9\-])"), F.lit(1))
     return lines.select(F.explode(found).alias("host")).select(F.lower("host").alias("host")).distinct()
 
 

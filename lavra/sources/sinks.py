@@ -18,18 +18,25 @@ def overwrite(df: DataFrame, path: str, partition: str | None = None) -> None:
 
 
 def upsert(spark: SparkSession, path: str, new: DataFrame, key: list[str], at: str) -> DataFrame:
-    """The old table and the new rows, the latest row per key; written beside the old one and then read."""
-    try:
-        old = spark.read.parquet(path)
-        rows = old.unionByName(new, allowMissingColumns=True)
-    except Exception:  # noqa: BLE001 - no table yet
-        rows = new
+    """The old table and the new rows, the latest row per key (ties: the greatest values).
+
+    It is written beside the old table, which is then swapped for it by two renames; a run that ends
+    between them leaves the old table under `<path>.velho`. Errors of reading rise, they never count as "no table".
+    """
+    Path = spark._jvm.org.apache.hadoop.fs.Path
+    fs = Path(path).getFileSystem(spark._jsc.hadoopConfiguration())
+    here, old, staged = Path(path), Path(f"{path}.velho"), Path(f"{path}.novo")
+    if not fs.exists(here) and fs.exists(old):
+        fs.rename(old, here)
+    rows = spark.read.parquet(path).unionByName(new, allowMissingColumns=True) if fs.exists(here) else new
     rest = [c for c in rows.columns if c not in key]
-    out = rows.groupBy(*key).agg(F.max_by(F.struct(*rest), F.struct(at)).alias("x")).select(*key, "x.*")
-    staged = f"{path}.novo"
-    out.write.mode("overwrite").parquet(staged)
-    done = spark.read.parquet(staged)
-    done.write.mode("overwrite").parquet(path)
+    out = rows.groupBy(*key).agg(F.max_by(F.struct(*rest), F.struct(at, *rest)).alias("x")).select(*key, "x.*")
+    out.write.mode("overwrite").parquet(f"{path}.novo")
+    fs.delete(old, True)
+    if fs.exists(here):
+        fs.rename(here, old)
+    fs.rename(staged, here)
+    fs.delete(old, True)
     return spark.read.parquet(path)
 
 

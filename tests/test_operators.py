@@ -160,13 +160,18 @@ def test_json_source_keeps_malformed_rows(spark):
 
 def test_log_sources(spark):
     one = lambda *t: spark.createDataFrame([(x,) for x in t], "value string")
-    r = files.cef(one("jan 1 host CEF:0|V|P|1|9|upload|High|suser=ana dhost=x.example", "noise")).collect()
-    assert len(r) == 1 and r[0]["sens"] == "Crítica" and r[0]["campos"]["dhost"] == "x.example"
+    line = "jan 1 host CEF:0|V|P|1|9|upload|{}|suser=ana act={} cs1={} dhost=x.example"
+    cef = files.cef(one(*[line.format(*x) for x in (("Critical", "IA-Generativa-Upload", "PII-CPF"), ("high", "Outra", "x"), ("medium", "", ""), ("LOW", "", ""), ("?", "", ""))], "noise"))
+    r = cef.collect()
+    assert [x["sens"] for x in r] == ["Crítica", "Confidencial", "Interna", "Pública", "Interna"] and r[0]["campos"]["dhost"] == "x.example"
+    assert [x["informacao_id"] for x in r[:2]] == ["INFO-003", "INFO-000"] and files.uploads(cef).count() == 1
+    ips = {"8.8.8.8": True, "abc": False, "": False, "10.1.2.3": False, "172.16.0.1": False, "172.32.0.1": True, "169.254.1.1": False, "2001:db8::1": True, "fe80::1": False, "::1": False, "1.2.3": False}
+    assert {x["value"]: x["p"] for x in one(*ips).select("value", files.is_public(F.col("value")).alias("p")).collect()} == ips
     r = files.web_log(one("2024-01-01 10:00:00 ana GET https://Chat.example/p?secret=1 200")).first()
     assert r["host"] == "chat.example" and "secret" not in str(r)
     r = files.connections(one("  TCP    10.0.0.5:5000   93.184.216.34:443   ESTABLISHED", "tcp 0 0 10.0.0.5:1 192.168.0.9:22 ESTABLISHED")).collect()
     assert [(x["ip"], x["porta"], x["publico"]) for x in r] == [("93.184.216.34", 443, True), ("192.168.0.9", 22, False)]
-    assert [x["host"] for x in files.dns_names(one("Record Name . . . . : Chat.Example")).collect()] == ["chat.example"]
+    assert sorted(x["host"] for x in files.dns_names(one("Record Name . . . . : Chat.Example", "  api.other.example. A 1.2.3.4", "-.x", "")).collect()) == ["api.other.example", "chat.example"]
     assert one("data: a\n\ndata: b\ndata: [DONE]").select(files.event_stream_text(F.col("value"))).first()[0] == "a\nb"
 
 
@@ -207,7 +212,7 @@ def test_scalars(spark):
     assert [f(scalars.level(F.lit(x), {"a": 90, "b": 38, "c": 0})) for x in (95, 38, 5)] == ["a", "b", "c"]
     assert f(scalars.sql_literal(F.lit("d'água"))) == "'d''água'"
     assert tuple(f(scalars.host_port(F.lit("[fe80::1]:443")))) == ("fe80::1", 443)
-    assert f(scalars.json_strings(F.lit('{"a": "x", "b": ["y", {"c": "z"}]}'))) == ["x", "y", "z"] and f(scalars.json_strings(F.lit("{"))) == []
+    assert f(scalars.json_strings(F.lit('{"a": "x", "b": ["y", {"c": "z"}]}'))) == ["x", "y", "z"] and f(scalars.json_strings(F.lit(r'{"a": "caf\u00e9 \"x\"\n"}'))) == ['café "x"\n'] and f(scalars.json_strings(F.lit("{"))) == []
 
 
 def test_sinks(spark, tmp_path):
@@ -216,6 +221,11 @@ def test_sinks(spark, tmp_path):
     sinks.upsert(spark, path, one, ["k"], "at")
     got = sinks.upsert(spark, path, spark.createDataFrame([("m", 2, "c"), ("n", 0, "old")], "k string, at int, v string"), ["k"], "at")
     assert sorted(tuple(r) for r in got.collect()) == [("m", 2, "c"), ("n", 1, "b")]
+    (tmp_path / "bad").mkdir()
+    (tmp_path / "bad" / "x.parquet").write_text("no table")
+    with pytest.raises(Exception):
+        sinks.upsert(spark, str(tmp_path / "bad"), one, ["k"], "at")
+    assert (tmp_path / "bad" / "x.parquet").exists()
     ids = sinks.with_ids(spark.range(100).selectExpr("100 - id as x"), ["x"]).orderBy("x").collect()
     assert [r["id"] for r in ids] == [f"CAP-{i:06d}" for i in range(1, 101)]
     assert sinks.page("<s>/*DADOS*/</s>", {"a": "</s>"}) == '<s>{"a": "<\\/s>"}</s>'
