@@ -96,14 +96,21 @@ def _zones(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def _p4(spark: SparkSession, folder: str) -> DataFrame:
+    """campo, registro, valor, formato, ambiguo, fonte. Each table is read once; the three fields go through one mixture step, each with sources of its own."""
     zones = _zones(spark, folder)
     ev = table(spark, folder, "eventos").select("id", "ts", "data", "unidade_id", "recebido_em").join(zones, "unidade_id", "left")
+    ev = timestamps.date_candidates(timestamps.instant_candidates(ev, "ts", "data", "fuso"), "data", names=("_forma_d", "_cand_d"))
+    one = lambda campo, seen, forma, cand: F.struct(F.lit(campo).alias("campo"), seen.alias("visto"), F.col(forma).alias("_forma"), F.col(cand).alias("_cand"))
+    both = F.array(one("eventos.ts", F.col("recebido_em"), "_forma", "_cand"), one("eventos.data", F.lit(None).cast("timestamp"), "_forma_d", "_cand_d"))
+    ev = ev.select(F.col("id").cast("string").alias("registro"), "unidade_id", F.lit(None).cast("timestamp").alias("testemunha"), F.explode(both).alias("x")).select("registro", "unidade_id", "testemunha", "x.*")
     au = table(spark, folder, "auditoria").select("id", "ts", "data", "hora", "unidade_id").join(zones, "unidade_id", "left")
-    cols = lambda campo, v: [F.lit(campo).alias("campo"), F.col("id").cast("string").alias("registro"), F.col(v).alias("valor"), "formato", "ambiguo", F.col("fonte")]
-    a = timestamps.normalise_instants(ev, "ts", "fuso", F.col("unidade_id"), day_of="data", seen=F.col("recebido_em")).select(*cols("eventos.ts", "instante"))
-    b = timestamps.normalise_dates(ev, "data", F.col("unidade_id")).select(*cols("eventos.data", "dia"))
-    c = timestamps.normalise_instants(au, "hora", "fuso", F.col("unidade_id"), day_of="data", witness=F.try_to_timestamp(F.col("ts"))).select(*cols("auditoria.hora", "instante"))
-    return a.unionByName(b).unionByName(c)
+    au = timestamps.instant_candidates(au, "hora", "data", "fuso").select(
+        F.col("id").cast("string").alias("registro"), "unidade_id", F.try_to_timestamp(F.col("ts")).alias("testemunha"), F.lit("auditoria.hora").alias("campo"), F.lit(None).cast("timestamp").alias("visto"), "_forma", "_cand"
+    )
+    source = F.concat_ws(" ", "campo", F.coalesce("unidade_id", F.lit("-")))
+    out = timestamps.settle(timestamps.choose(ev.unionByName(au), source, F.col("visto")), F.col("testemunha"))
+    valor = F.when(F.col("campo") == "eventos.data", timestamps.date_text(F.col("s"))).otherwise(timestamps.instant_text(F.col("s")))
+    return out.select("campo", "registro", valor.alias("valor"), "formato", "ambiguo", F.coalesce("unidade_id", F.lit("-")).alias("fonte"))
 
 
 def p4_found(spark: SparkSession, folder: str) -> DataFrame:
