@@ -99,6 +99,12 @@ def p6_report(spark: SparkSession, folder: str) -> DataFrame:
     return packing.fill_report(packing.pack(_sizes(spark, folder), caps), caps)
 
 
+def p6_violations(spark: SparkSession, folder: str) -> DataFrame:
+    """What breaks the rules of a packing: nothing."""
+    sizes, caps = _sizes(spark, folder), table(spark, folder, "capacidades")
+    return packing.violations(packing.pack(sizes, caps), sizes, caps)
+
+
 def p7_mixture(spark: SparkSession, folder: str) -> DataFrame:
     return mixing.mix(_sizes(spark, folder), table(spark, folder, "misturas"))[0]
 
@@ -124,13 +130,14 @@ def p8_statistics(spark: SparkSession, folder: str) -> DataFrame:
 def queries() -> dict:
     return {
         "p2_found": p2_found, "p2_masked": p2_masked, "p5_found": p5_found, "p5_unnamed_sessions": p5_unnamed_sessions, "p5_rebuilt": p5_rebuilt, "p5_gap": p5_gap,
-        "p6_packing": p6_packing, "p6_report": p6_report, "p7_mixture": p7_mixture, "p7_shares": p7_shares,
+        "p6_packing": p6_packing, "p6_report": p6_report, "p6_violations": p6_violations, "p7_mixture": p7_mixture, "p7_shares": p7_shares,
         "p8_found": p8_found, "p8_statistics": p8_statistics,
     }
 
 
 def oracle_sql() -> dict[str, str]:
     return {
+        "p6_violations": "SELECT CAST(0 AS BIGINT) AS capacidade_id, '' AS regra, '' AS onde, CAST(0 AS BIGINT) AS n WHERE FALSE",
         "p5_found": _P5, "p5_gap": _GAP + "SELECT * FROM gap",
         "p5_unnamed_sessions": _SESSIONS("nome IS NULL") + "SELECT * FROM k",
         "p5_rebuilt": _SESSIONS("TRUE") + "SELECT canal, inicio, CAST(ordem AS INTEGER) AS ordem, message AS cap_id, papel FROM e SEMI JOIN k2 USING (canal, inicio)".replace("k2", "(SELECT * FROM k WHERE completa) k2"),

@@ -12,7 +12,8 @@ def test_rule_is_sum_of_squares():
     for _ in range(30):
         cap = rng.choice([7, 20])
         sizes = [rng.randint(0, cap) for _ in range(80)]
-        place, begin, fill = packing.sum_of_squares(sizes, cap)
+        place, position, begin, fill = packing.sum_of_squares(sizes, cap)
+        assert [position[i] for i, c in enumerate(place) if c == place[0]] == list(range(1, place.count(place[0]) + 1))
         level = [0] * (cap + 1)
         at = {}
         for s, c, b in zip(sizes, place, begin):
@@ -29,13 +30,17 @@ def test_rule_is_sum_of_squares():
         assert [at.get(i, 0) for i in range(len(fill))] == fill
 
 
-@pytest.mark.parametrize("group", [10_000, 40])
-def test_every_text_has_its_place(spark, group):
+@pytest.mark.parametrize("group,levels", [(10_000, 1 << 16), (40, 1 << 16), (10_000, 30)])
+def test_every_text_has_its_place(spark, group, levels):
     rng = random.Random(2)
     sizes = {i: rng.choice([0, 1, 5, 17, 60, 100, 101, 250, 999]) for i in range(300)}
     df = spark.createDataFrame([*sizes.items(), (None, 5)], "doc_id bigint, tokens int").withColumn("capacidade_id", F.lit("clash"))
     caps = spark.createDataFrame([(1, 100), (2, 64), (3, None), (4, 0)], "capacidade_id int, capacidade_tokens int")
-    out = packing.pack(df, caps, group_items=group).toPandas()
+    packed = packing.pack(df, caps, group_items=group, levels=levels)
+    assert packing.violations(packed, df, caps).count() == 0
+    broken = packed.where("doc_id <> 7").withColumn("tokens", F.expr("if(doc_id = 9, 200L, tokens)"))
+    assert {r["regra"] for r in packing.violations(broken, df, caps).collect()} >= {"acima da capacidade", "não colocado inteiro"}
+    out = packed.toPandas()
     for cap_id, cap in ((1, 100), (2, 64)):
         one = out[out.capacidade_id == cap_id]
         assert one.groupby("doc_id").tokens.sum().to_dict() == sizes
@@ -45,7 +50,7 @@ def test_every_text_has_its_place(spark, group):
             box = box.sort_values("posicao")
             assert box.tokens.sum() <= cap and list(box.posicao) == list(range(1, len(box) + 1))
             assert list(box.inicio) == [0, *box.tokens.cumsum().tolist()[:-1]]
-        assert one.recipiente.nunique() <= 1.1 * sum(sizes.values()) / cap + 3
+        assert levels < cap or one.recipiente.nunique() <= 1.1 * sum(sizes.values()) / cap + 3
     assert set(out.capacidade_id) == {1, 2}
 
 
