@@ -113,6 +113,11 @@ def p7_shares(spark: SparkSession, folder: str) -> DataFrame:
     return mixing.mix(_sizes(spark, folder), table(spark, folder, "misturas"))[1]
 
 
+def p7_violations(spark: SparkSession, folder: str) -> DataFrame:
+    """What breaks the rules of a mix: nothing."""
+    return mixing.violations(*mixing.mix(_sizes(spark, folder), table(spark, folder, "misturas")))
+
+
 def _classified(spark: SparkSession, folder: str) -> DataFrame:
     docs = table(spark, folder, "documents")
     return quality.classify(docs, quality.train(docs, table(spark, folder, "rotulos")))
@@ -130,7 +135,7 @@ def p8_statistics(spark: SparkSession, folder: str) -> DataFrame:
 def queries() -> dict:
     return {
         "p2_found": p2_found, "p2_masked": p2_masked, "p5_found": p5_found, "p5_unnamed_sessions": p5_unnamed_sessions, "p5_rebuilt": p5_rebuilt, "p5_gap": p5_gap,
-        "p6_packing": p6_packing, "p6_report": p6_report, "p6_violations": p6_violations, "p7_mixture": p7_mixture, "p7_shares": p7_shares,
+        "p6_packing": p6_packing, "p6_report": p6_report, "p6_violations": p6_violations, "p7_mixture": p7_mixture, "p7_shares": p7_shares, "p7_violations": p7_violations,
         "p8_found": p8_found, "p8_statistics": p8_statistics,
     }
 
@@ -138,6 +143,7 @@ def queries() -> dict:
 def oracle_sql() -> dict[str, str]:
     return {
         "p6_violations": "SELECT CAST(0 AS BIGINT) AS capacidade_id, '' AS regra, '' AS onde, CAST(0 AS BIGINT) AS n WHERE FALSE",
+        "p7_violations": "SELECT CAST(0 AS INTEGER) AS mistura_id, '' AS source, '' AS regra, CAST(0 AS BIGINT) AS n WHERE FALSE",
         "p5_found": _P5, "p5_gap": _GAP + "SELECT * FROM gap",
         "p5_unnamed_sessions": _SESSIONS("nome IS NULL") + "SELECT * FROM k",
         "p5_rebuilt": _SESSIONS("TRUE") + "SELECT canal, inicio, CAST(ordem AS INTEGER) AS ordem, message AS cap_id, papel FROM e SEMI JOIN k2 USING (canal, inicio)".replace("k2", "(SELECT * FROM k WHERE completa) k2"),

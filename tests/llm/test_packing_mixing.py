@@ -60,18 +60,32 @@ def test_packing_of_nothing(spark):
     assert packing.pack(df, caps).count() == 0 and packing.pack(df, caps.where("false")).count() == 0
 
 
-def test_schedule_deviates_less_than_a_block():
-    for weights in ({"a": 0.5, "b": 0.3, "c": 0.2}, {"a": 1.0}, {f"s{i}": i + 1.0 for i in range(17)}):
-        parts = mixing.whole_parts(weights, 500)
-        assert sum(parts.values()) == 500
-        slots = mixing.schedule(parts, 500)
-        assert sorted(t for s in slots.values() for t in s) == list(range(500))
-        for s, a in parts.items():
-            taken = set(slots[s])
-            done = 0
-            for t in range(500):
-                done += t in taken
-                assert abs(done - (t + 1) * a / 500) < 1
+@pytest.mark.parametrize("stretch", [100_000, 100])
+@pytest.mark.parametrize("blocks", [{"a": 250, "b": 150, "c": 100}, {"a": 9}, {f"s{i}": i + 1 for i in range(17)}, {"big": 30_000, "tiny": 1, "small": 7}])
+def test_schedule_deviates_less_than_a_block(blocks, stretch):
+    total, at = sum(blocks.values()), mixing.ends(blocks, stretch)
+    assert at[-1] == blocks
+    got = [x for a, b in zip(at, at[1:]) for x in mixing.schedule(blocks, a, b)]
+    assert [t for t, _, _ in got] == list(range(total))
+    had = dict.fromkeys(blocks, 0)
+    for t, s, k in got:
+        assert had[s] == k
+        had[s] += 1
+        assert all(abs(had[x] - (t + 1) * n / total) < 1 for x, n in blocks.items())
+
+
+def test_long_texts_pause_their_source(spark):
+    rows = [(i, "a", 900 if i % 7 == 0 else 20) for i in range(300)] + [(1000 + i, "b", 30) for i in range(400)]
+    df = spark.createDataFrame(rows, "doc_id bigint, source string, tokens int")
+    m = spark.createDataFrame([(1, "a", 0.5, None), (1, "b", 0.5, 2)], "mistura_id int, source string, peso_alvo double, max_repeticoes int")
+    uses, shares = mixing.mix(df, m, block=64)
+    assert mixing.violations(uses, shares, block=64).count() == 0
+    u, got = uses.toPandas().sort_values(["vaga", "source", "inicio"]), {r["source"]: r for r in shares.collect()}
+    assert got["b"]["tokens"] == 24_000 and 24_000 - 64 < got["a"]["tokens"] <= 24_000  # no source passes its quota, and short texts fill it
+    t, x = u.tokens.cumsum(), u.tokens.where(u.source == "a", 0).cumsum()
+    assert abs(max(abs(x - t / 2).max(), 0) - got["a"]["desvio_maximo"]) <= 32 and got["a"]["desvio_maximo"] < 64 + 900 + 30
+    twice = uses.unionAll(uses.where("source = 'b'").withColumn("repeticao", F.lit(3)))
+    assert {r["regra"] for r in mixing.violations(twice, shares, block=64).collect()} == {"acima do limite"}
 
 
 def test_mix(spark):
@@ -92,6 +106,7 @@ def test_mix(spark):
     counts = one[one.source == "b"].groupby("doc_id").size().reindex(have["b"].keys(), fill_value=0)
     assert counts.max() - counts.min() <= 1  # nobody twice before all once
     assert u[u.mistura_id == 2].groupby("doc_id").size().to_dict() == dict.fromkeys(have["c"], 1)
+    assert mixing.violations(uses, shares, block=64).count() == 0
     blocks = one[["source", "bloco", "vaga"]].drop_duplicates()
     assert not blocks.vaga.duplicated().any()
     assert mixing.mix(df.where("false"), m)[0].count() == 0 and mixing.mix(df, m.where("false"))[1].count() == 0
