@@ -2,12 +2,13 @@
 
 A text goes through a chain of transducers. Each rewrites disguised characters to plain ones and keeps,
 for every character of its output, the place it came from: homoglyphs and full-width forms, invisible
-characters, spelled digits, "at" and "dot" in an address. Detectors work on the plain text; a match is
+characters, marks apart from their letters, letters written apart, numbers in words (also mixed with
+digits), "at" and "dot" in an address; in names, digits that stand for letters. Detectors work on the plain text; a match is
 given by its place in the source. A text without any trigger of a transducer is its own output.
 
 Detectors, in order of precedence: e-mail, street address, identity documents (CPF with correct check
 digits; other numbers by the word before them), telephone, names. A name is read from a lexicon of
-given names and surnames (fitted on a bounded sample of the staff table, see Lexicon.fit) by a small grammar (given name
+all given names and surnames of the staff table (see Lexicon.fit) by a small grammar (given name
 and surnames; surname, given name; initial and surname), or, outside the lexicon, as a run of
 capitalised words after a word that announces a person.
 
@@ -42,9 +43,32 @@ _WORDS = {
     "sete": "7", "oito": "8", "nove": "9", "one": "1", "two": "2", "three": "3", "four": "4", "five": "5", "six": "6", "seven": "7", "eight": "8", "nine": "9",
     "cero": "0", "uno": "1", "dos": "2", "cuatro": "4", "siete": "7", "ocho": "8", "nueve": "9",
 }
+# Numbers of two digits as words; tens take a unit after them (vinte e um, treinta y dos, forty-two).
+_TEENS = {
+    w: str(n)
+    for words in (
+        "dez onze doze treze catorze quinze dezesseis dezessete dezoito dezenove", "diez once doce trece catorce quince dieciséis diecisiete dieciocho diecinueve",
+        "ten eleven twelve thirteen fourteen fifteen sixteen seventeen eighteen nineteen",
+    ) for n, w in enumerate(words.split(), 10)
+}
+_TENS = {
+    w: str(n)
+    for words in ("vinte trinta quarenta cinquenta sessenta setenta oitenta noventa", "veinte treinta cuarenta cincuenta sesenta setenta ochenta noventa", "twenty thirty forty fifty sixty seventy eighty ninety")
+    for n, w in enumerate(words.split(), 2)
+}
 _ODD = re.compile(r"[^\x00-ſ‐-‧‰-›]|[­​-‏⁠﻿]")
-_DIGIT_WORD = r"(?:" + "|".join(sorted(_WORDS, key=len, reverse=True)) + r")"
-_SPELLED = re.compile(rf"\b{_DIGIT_WORD}(?:[ ,.\-]{{1,3}}{_DIGIT_WORD}){{4,}}\b", re.I)
+_any = lambda words: "(?:" + "|".join(sorted(words, key=len, reverse=True)) + ")"
+_NUMERAL = rf"(?:(?P<tens>{_any(_TENS)})(?:(?: e | y |-| )(?P<unit>{_any(_WORDS)})\b)?|(?P<teen>{_any(_TEENS)})|(?P<word>{_any(_WORDS)})|(?P<digits>\d{{1,5}}))(?!\w)"
+_PLAIN_NUMERAL = re.sub(r"\?P<\w+>", "?:", _NUMERAL)
+_SPELLED = re.compile(rf"(?<!\w){_PLAIN_NUMERAL}(?:[ ,.\-]{{1,3}}{_PLAIN_NUMERAL}){{2,}}", re.I)
+_ONE_NUMERAL = re.compile(_NUMERAL, re.I)
+_NUMBER_WORDS = frozenset(_WORDS) | frozenset(_TEENS) | frozenset(_TENS)
+#: Letters written apart: four and more single ones in a row.
+_SPACED = re.compile(r"(?<!\S)[^\W\d_](?: [^\W\d_]){3,}(?!\S)")
+#: A word with digits in the place of letters.
+_LEET = re.compile(r"(?<![\w@./\-])[^\W\d_]+[013457][^\W_]*(?![\w@./\-])")
+# Digits that look like letters.
+_AS_LETTERS = str.maketrans("013457", "oieast")
 _APART = str.maketrans(",.-", "   ")
 _LOCAL = r"[A-Za-z0-9][A-Za-z0-9._%+\-]*"
 _AT = r"(?:\s?@\s?|\s?[(\[{<]\s?(?:at|arroba)\s?[)\]}>]\s?|\s(?:arroba|at)\s)"
@@ -69,8 +93,10 @@ class Plain:
         self.text, self.at, self.to = source, None, None
         if _ODD.search(source):
             self._letters()
+        if len(self.text) > 6 and self.text.count(" ") > 2 and _SPACED.search(self.text):
+            self._rewrite(_SPACED, self._joined)
         low = self.text.lower()
-        if sum(w in _WORDS for w in low.translate(_APART).split()) >= 5:
+        if sum(w in _NUMBER_WORDS for w in low.translate(_APART).split()) >= 2:
             self._rewrite(_SPELLED, self._digits)
         if any(h in low for h in _AT_HINTS):
             self._rewrite(_DISGUISED, self._address)
@@ -80,14 +106,23 @@ class Plain:
         return (a, b) if self.at is None else (self.at[a], self.to[b - 1])
 
     def _letters(self) -> None:
-        out, at = [], []
+        """Plain letters; marks on a letter are joined to it where there is such a letter, else left out."""
+        out, at, to = [], [], []
         for i, c in enumerate(self.text):
             if unicodedata.category(c) == "Cf":
                 continue
+            if unicodedata.combining(c):
+                if out:
+                    one = unicodedata.normalize("NFC", out[-1] + c)
+                    if len(one) == 1:
+                        out[-1] = one
+                    to[-1] = i + 1
+                continue
             for x in unicodedata.normalize("NFKC", c).translate(_LOOKALIKES) if ord(c) > 0x17F else c:
                 out.append(x)
                 at.append(i)
-        self.text, self.at, self.to = "".join(out), at, [i + 1 for i in at]
+                to.append(i + 1)
+        self.text, self.at, self.to = "".join(out), at, to
 
     def _rewrite(self, pattern: re.Pattern, how) -> None:
         out, at, to, done = [], [], [], 0
@@ -118,7 +153,22 @@ class Plain:
 
     @staticmethod
     def _digits(m: re.Match):
-        return [(_WORDS[w[0].lower()], m.start() + w.start(), m.start() + w.end()) for w in re.finditer(_DIGIT_WORD, m[0], re.I)]
+        """Digits of a run of numerals; only of runs with five words, or with two and as many digits as an identifier has."""
+        pieces, words, digits = [], 0, 0
+        for w in _ONE_NUMERAL.finditer(m[0]):
+            if w["digits"]:
+                value = w["digits"]
+            else:
+                words += 1
+                low = lambda g: w[g].lower()  # noqa: B023, E731
+                value = _TENS[low("tens")] + (_WORDS[low("unit")] if w["unit"] else "0") if w["tens"] else _TEENS[low("teen")] if w["teen"] else _WORDS[low("word")]
+            digits += len(value)
+            pieces.append((value, m.start() + w.start(), m.start() + w.end()))
+        return pieces if words >= 5 or words >= 2 and digits >= 8 else None
+
+    @staticmethod
+    def _joined(m: re.Match):
+        return [(c, m.start() + i, m.start() + i + 1) for i, c in enumerate(m[0]) if c != " "]
 
     @staticmethod
     def _address(m: re.Match):
@@ -209,18 +259,52 @@ class Lexicon:
     family: frozenset[str] = field(default_factory=frozenset)
 
     @staticmethod
-    def fit(people: DataFrame, column: str = "nome", most: int = 50_000) -> Lexicon:
-        """From a table of staff. The `most` commonest words of names are fetched: the documented bound of this model's sample.
+    def words(people: DataFrame, column: str = "nome") -> DataFrame:
+        """w (folded), given, family: every word of the personal names in a table of staff.
 
         Only the shape of personal names counts: two or more capitalised words, with particles, without digits.
         """
         shape = r"^\p{Lu}[\p{L}'’\-]+(\s+(d[aeo]s?|del|\p{Lu}[\p{L}'’\-]+))*\s+\p{Lu}[\p{L}'’\-]+$"
-        words = (
-            people.where(F.col(column).rlike(shape)).select(F.posexplode(F.split(F.col(column), r"\s+")).alias("i", "w"))
-            .where(~F.lower("w").isin(*_PARTICLES)).groupBy((F.col("i") == 0).alias("first"), "w").agg(F.count("*").alias("n"))
-            .orderBy(F.desc("n"), "w").limit(most).collect()
-        )
-        return Lexicon(frozenset(fold(r["w"]) for r in words if r["first"]), frozenset(fold(r["w"]) for r in words if not r["first"]))
+
+        @F.pandas_udf("string")
+        def folded(w: pd.Series) -> pd.Series:
+            return w.map(fold)
+
+        words = people.where(F.col(column).rlike(shape)).select(F.posexplode(F.split(F.col(column), r"\s+")).alias("i", "w")).where(~F.lower("w").isin(*_PARTICLES))
+        words = words.groupBy("w").agg(F.bool_or(F.col("i") == 0).alias("given"), F.bool_or(F.col("i") > 0).alias("family"))
+        return words.groupBy(folded("w").alias("w")).agg(F.bool_or("given").alias("given"), F.bool_or("family").alias("family"))
+
+    @staticmethod
+    def of(rows) -> Lexicon:
+        """rows: (w, given, family)."""
+        return Lexicon(frozenset(r[0] for r in rows if r[1]), frozenset(r[0] for r in rows if r[2]))
+
+    @staticmethod
+    def fit(people: DataFrame, column: str = "nome", most: int = 50_000) -> Lexicon | DataFrame:
+        """The lexicon itself if it has no more than `most` words, to be handed to all tasks; else its table, from which each text is given the words it needs by a join. No word is left out."""
+        table = Lexicon.words(people, column)
+        rows = table.limit(most + 1).collect()
+        return Lexicon.of(rows) if len(rows) <= most else table
+
+
+def _with_words(df: DataFrame, table: DataFrame, fields: list[str]) -> DataFrame:
+    """Adds _lex (array<struct<w, given, family>>): the words of the table that occur in the fields. Equal texts are looked up once."""
+
+    @F.pandas_udf("array<string>")
+    def words_of(texts: pd.Series) -> pd.Series:
+        def one(t):
+            if not t:
+                return []
+            plain = Plain(t).text
+            return list({fold(w) for w in _WORD.findall(plain)} | {fold(w.translate(_AS_LETTERS)) for w in _LEET.findall(plain)})
+
+        return texts.map(one)
+
+    text = F.concat_ws("\n", *fields)
+    keyed = df.withColumn("_k", F.sha2(text, 256))
+    each = keyed.groupBy("_k").agg(F.first(text).alias("t")).select("_k", F.explode(words_of("t")).alias("w"))
+    own = each.join(table, "w").groupBy("_k").agg(F.collect_list(F.struct("w", "given", "family")).alias("_lex"))
+    return keyed.join(own, "_k", "left").drop("_k")
 
 
 def _emails(t: str) -> Iterator[tuple[int, int]]:
@@ -242,7 +326,18 @@ def _streets(t: str, family: frozenset[str]) -> Iterator[tuple[int, int]]:
             yield m.start(), at
 
 
+def _undisguised(t: str, lex: Lexicon) -> str:
+    """The text with digits that stand for letters in names put right; of the same length."""
+    def one(m: re.Match) -> str:
+        w = m[0].translate(_AS_LETTERS)
+        return w if fold(w) in lex.given or fold(w) in lex.family else m[0]
+
+    return _LEET.sub(one, t)
+
+
 def _names(t: str, lex: Lexicon, taken: list[tuple[int, int]]) -> Iterator[tuple[int, int]]:
+    if _LEET.search(t):
+        t = _undisguised(t, lex)
     words = [(m.start(), m.end()) for m in _WORD.finditer(t)]
     folded = [_FOLDED(t[a:b]) for a, b in words]
     given, family = lex.given, lex.family
@@ -384,33 +479,53 @@ def mask(source: str | None, lex: Lexicon) -> str | None:
 # ---- over tables
 
 
-def found(df: DataFrame, lex: Lexicon, key: str, fields: list[str]) -> DataFrame:
+_LEX_TYPE = "array<struct<w:string,given:boolean,family:boolean>>"
+
+
+def _prepared(df: DataFrame, lex: Lexicon | DataFrame, fields: list[str]) -> tuple[DataFrame, Lexicon | None]:
+    """The table with a column _lex, null where one lexicon serves all rows."""
+    if isinstance(lex, Lexicon):
+        return df.withColumn("_lex", F.lit(None).cast(_LEX_TYPE)), lex
+    return _with_words(df, lex, fields), None
+
+
+def _own(words) -> Lexicon:
+    return Lexicon.of([(x["w"], x["given"], x["family"]) for x in words] if words is not None else [])
+
+
+def found(df: DataFrame, lex: Lexicon | DataFrame, key: str, fields: list[str]) -> DataFrame:
     """chave, campo, tipo, inicio (1-based): each occurrence once, however often a row was delivered."""
+    src, shared = _prepared(df.select(F.col(key).cast("string").alias("chave"), *fields).where("chave is not null"), lex, fields)
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
             rows = []
             for f in fields:
+                if shared is None:
+                    rows += [(k, f, kind, a + 1) for k, t, w in zip(pdf["chave"], pdf[f], pdf["_lex"]) if t for kind, a, _ in detect(t, _own(w))]
+                    continue
                 codes, texts = pd.factorize(pdf[f], use_na_sentinel=True)
-                hits = [[(k, a + 1) for k, a, _ in detect(t, lex)] for t in texts]
+                hits = [[(k, a + 1) for k, a, _ in detect(t, shared)] for t in texts]
                 some = {i for i, h in enumerate(hits) if h}
                 rows += [(k, f, kind, a) for k, c in zip(pdf["chave"], codes) if c in some for kind, a in hits[c]]
             yield pd.DataFrame(rows, columns=["chave", "campo", "tipo", "inicio"])
 
-    src = df.select(F.col(key).cast("string").alias("chave"), *fields).where("chave is not null")
     return src.mapInPandas(run, "chave string, campo string, tipo string, inicio int").distinct()
 
 
-def masked(df: DataFrame, lex: Lexicon, fields: list[str]) -> DataFrame:
+def masked(df: DataFrame, lex: Lexicon | DataFrame, fields: list[str]) -> DataFrame:
     """The same rows and columns, with placeholders in the fields."""
-    out = df
+    had = df.columns
+    out, shared = _prepared(df, lex, fields)
     for f in fields:
 
         @F.pandas_udf("string")
-        def one(texts: pd.Series) -> pd.Series:
+        def one(texts: pd.Series, words: pd.Series) -> pd.Series:
+            if shared is None:
+                return pd.Series([mask(t, _own(w)) for t, w in zip(texts, words)], dtype=object)
             codes, distinct = pd.factorize(texts, use_na_sentinel=True)
-            done = [mask(t, lex) for t in distinct]
+            done = [mask(t, shared) for t in distinct]
             return pd.Series([None if c < 0 else done[c] for c in codes], dtype=object)
 
-        out = out.withColumn(f, one(F.col(f)))
-    return out
+        out = out.withColumn(f, one(F.col(f), F.col("_lex")))
+    return out.select(*had)

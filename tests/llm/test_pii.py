@@ -24,6 +24,12 @@ CASES = [
     ("entregar na RUA DO SABIÁ MANSO, Nº 348", [("endereco", "RUA DO SABIÁ MANSO, Nº 348")]),
     ("RG nº 44.002.671-1, RUT: 63.522.910-k, SSN 905-28-8443, PIS/PASEP: 119.44799.18-1, passaporte XC123456", [("documento", "44.002.671-1"), ("documento", "63.522.910-k"), ("documento", "905-28-8443"), ("documento", "119.44799.18-1"), ("documento", "XC123456")]),
     ("cinco dois nove nove oito dois dois quatro sete dois cinco", [("documento", "cinco dois nove nove oito dois dois quatro sete dois cinco")]),
+    ("falar com Fa\u0301bio Trigoso e I\u0301ris Serpaz", [("nome", "Fa\u0301bio Trigoso"), ("nome", "I\u0301ris Serpaz")]),
+    ("ligar 11 nove 8765 quatro três dois um hoje", [("telefone", "11 nove 8765 quatro três dois um")]),
+    ("fone onze nove oito sete seis cinco quatro três vinte e um", [("telefone", "onze nove oito sete seis cinco quatro três vinte e um")]),
+    ("veio O t t o  S e r p a z ontem", [("nome", "O t t o  S e r p a z")]),
+    ("0tto não, mas H0go Serp4z e Hug0 Serp4z sim", [("nome", "Hug0 Serp4z")]),
+    ("de dois a três meses, 12 ou treze itens; um, dois, 2024", []),
     ("е-mail аna@monte.org.test", [("email", "аna@monte.org.test")]),  # Cyrillic a and e
     ("CPF 529.982.247-26; CNPJ 00.438.121/0001-76; CPF ***.804.313-**; [CPF-MASCARADO]; a***@***", []),
     ("imagem capa@2x.png, marcar @suporte, protocolo 20299998687, lote 11 2024-0586, ramal 8810, pedido #681-369-09, nota fiscal 000.962.673", []),
@@ -67,6 +73,21 @@ def test_over_tables(spark):
     assert pii.Lexicon.fit(people.where("false")).given == frozenset()
 
 
+def test_more_name_words_than_are_handed_to_tasks(spark):
+    letters = "abcdefghij"
+    rare = lambda i: "Z" + "".join(letters[int(c)] for c in f"{i:05d}")
+    people = spark.range(60_000).select("id").rdd.map(lambda r: (rare(r[0]) + " Q" + rare(r[0])[1:],)).toDF("nome string")
+    table = pii.Lexicon.fit(people)
+    assert not isinstance(table, pii.Lexicon)
+    rows = [("c1", f"oi {rare(59_999)} Q{rare(7)[1:]} ligou", None), ("c2", "nada", f"{rare(5)} Q{rare(5)[1:]}"), ("c2", "nada", f"{rare(5)} Q{rare(5)[1:]}"), ("c3", None, ""), (None, rare(1), "")]
+    df = spark.createDataFrame(rows, "cap_id string, previa string, titulo string")
+    assert sorted(tuple(r) for r in pii.found(df, table, "cap_id", ["previa", "titulo"]).collect()) == [("c1", "previa", "nome", 4), ("c2", "titulo", "nome", 1)]
+    assert sorted(r["previa"] or "" for r in pii.masked(df, table, ["previa"]).collect()) == ["", rare(1), "nada", "nada", "oi [NOME] ligou"]
+    small = people.limit(50)
+    both = [pii.found(df, pii.Lexicon.fit(small, most=n), "cap_id", ["previa", "titulo"]).collect() for n in (1, 1000)]
+    assert sorted(map(tuple, both[0])) == sorted(map(tuple, both[1]))
+
+
 @pytest.mark.parametrize("cue", ["Dr. ", "Sr. ", "DRA. ", "Cliente: ", "Nome: ", "Titular ", "Falar com ", "ASSINADO POR "])
 def test_capitalised_words_announce_a_person(cue):
     text = f"{cue}Zacarias Montepulciano hoje"
