@@ -1,8 +1,9 @@
 """Word shingles, signatures and exact similarity search.
 
 similar() finds, for a set of query documents, every document whose shingle sets have a Jaccard
-similarity of at least the threshold. It is exact: by the prefix filter, two such sets share one of
-their rarest shingles, so only these meet in the join; the candidates are verified on the whole sets.
+similarity of at least the threshold. It is exact: of a query with k shingles such a document holds at
+least t k, so it holds one of any k - ceil(t k) + 1 of them. The rarest ones meet the whole sets in the
+join, of which a bit filter lets only shingles of the queries through; the candidates are verified.
 Identical texts are represented once and mapped back at the end, so copies cause no pairs.
 
 Edge cases: null and blank texts have no shingles and match nothing; texts of fewer words than a
@@ -18,6 +19,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from lavra.operators.orphans import bloom_words, filter_bits, might_contain
 from lavra.session import checkpoint
 
 
@@ -74,18 +76,21 @@ def representatives(df: DataFrame, key: str, text: str) -> DataFrame:
 
 def similar(df: DataFrame, key: str, text: str, is_query: Column, threshold: float = 0.8, n: int = 5) -> DataFrame:
     """consulta, classe, jaccard: pairs of representatives, the first of them with a member for which is_query holds."""
-    members = representatives(df, key, text)
-    asked = df.where(is_query).select(key).join(members, key).select(F.col("classe").alias("id")).distinct()
-    reps = members.where(F.col(key) == F.col("classe")).select(F.col(key))
-    # the sets are used four times: for rarity, prefixes and both sides of the check
-    sets = checkpoint(df.join(reps, key, "left_semi").select(F.col(key).alias("id"), hashed_shingles(F.col(text), n).alias("s")).withColumn("n", F.size("s")))
-    each = sets.select("id", "n", F.explode("s").alias("g"))
-    rarity = each.groupBy("g").agg(F.count("*").alias("df"))
-    order = Window.partitionBy("id").orderBy("df", "g")
-    rare = each.join(rarity, "g").withColumn("pos", F.row_number().over(order)).where(F.col("pos") <= F.col("n") - F.ceil(F.col("n") * threshold - 1e-9) + 1).select("id", "n", "g")
-    left = rare.join(asked, "id", "left_semi").select(F.col("id").alias("a"), F.col("n").alias("na"), "g")
-    right = rare.select(F.col("id").alias("b"), F.col("n").alias("nb"), "g")
-    near = left.join(right, "g").where((F.col("a") != F.col("b")) & (F.col("nb") >= F.col("na") * threshold - 1e-9) & (F.col("na") >= F.col("nb") * threshold - 1e-9)).select("a", "b").distinct()
+    # one pass over the texts; what comes of it is used for classes, queries, what meets them, and the check
+    made = _let(normalise(F.col(text)), lambda t: F.when(t != "", F.struct(F.sha2(t, 256).alias("h"), F.array_distinct(F.transform(shingles(t, n), lambda x: F.xxhash64(x))).alias("s"))))
+    base = checkpoint(df.select(F.col(key).alias("id"), is_query.alias("q"), made.alias("x")).where("id is not null").select("id", "q", "x.h", "x.s"))
+    classes = base.where("h is not null").groupBy("h").agg(F.min("id").alias("id"), F.bool_or(F.coalesce("q", F.lit(False))).alias("q"))
+    sets = checkpoint(base.select("id", "s").join(classes.select("id", "q"), "id").dropDuplicates(["id"]).withColumn("n", F.size("s")))
+    mine = sets.where("q").select(F.col("id").alias("a"), F.col("n").alias("na"), F.explode("s").alias("g"))
+    wanted = mine.select("g").distinct()
+    # of all shingles only those of the queries go on: a bit filter first, so that nearly nothing else is shuffled
+    bits = filter_bits(wanted.count())
+    held = sets.select(F.col("id").alias("b"), F.col("n").alias("nb"), F.explode("s").alias("g"))
+    held = held.where(might_contain(bloom_words(wanted.withColumnRenamed("g", "k"), bits).scalar(), F.col("g"), bits))
+    rarity = held.join(wanted, "g").groupBy("g").agg(F.count("*").alias("df"))
+    order = Window.partitionBy("a").orderBy("df", "g")
+    rare = mine.join(rarity, "g").withColumn("pos", F.row_number().over(order)).where(F.col("pos") <= F.col("na") - F.ceil(F.col("na") * threshold - 1e-9) + 1)
+    near = rare.join(held, "g").where((F.col("a") != F.col("b")) & (F.col("nb") >= F.col("na") * threshold - 1e-9) & (F.col("na") >= F.col("nb") * threshold - 1e-9)).select("a", "b").distinct()
     sa, sb = sets.select(F.col("id").alias("a"), F.col("s").alias("x")), sets.select(F.col("id").alias("b"), F.col("s").alias("y"))
     out = near.join(sa, "a").join(sb, "b").withColumn("j", jaccard(F.col("x"), F.col("y"))).where(F.col("j") >= threshold - 1e-9)
     return out.select(F.col("a").alias("consulta"), F.col("b").alias("classe"), F.round("j", 4).alias("jaccard"))
