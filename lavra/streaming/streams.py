@@ -4,9 +4,11 @@ from __future__ import annotations
 
 import uuid
 
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from lavra.functions.text import key
 from lavra.session import checkpoint_dir
 
 
@@ -62,3 +64,28 @@ def paired(df: DataFrame, pair: str, role: str, at: str, wait: str = "1 hour") -
     p = df.where(F.col(role) == "p").select(F.col(pair).alias("par"), F.col(at).alias("pergunta_em")).withWatermark("pergunta_em", "1 day")
     r = df.where(F.col(role) == "r").select(F.col(pair).alias("par_r"), F.col(at).alias("resposta_em")).withWatermark("resposta_em", "1 day")
     return p.join(r, (F.col("par") == F.col("par_r")) & (F.col("resposta_em") >= F.col("pergunta_em")) & (F.col("resposta_em") <= F.col("pergunta_em") + F.expr(f"interval {wait}"))).drop("par_r")
+
+
+def since_last(df: DataFrame, hours: int = 8) -> DataFrame:
+    """id, usuario_id, ferramenta_id: the events that are emitted if one is suppressed within the hours after the last emitted one of its user and tool.
+
+    df: id, usuario_id, ferramenta_id, quando, in order of `quando` from batch to batch. The state of a key is one
+    instant. Repeated ids of a batch count once; references are compared as keys; null ones are left out.
+    """
+    gap = hours * 3_600_000_000
+    src = df.select("id", key(F.col("usuario_id")).alias("usuario_id"), key(F.col("ferramenta_id")).alias("ferramenta_id"), F.unix_micros("quando").alias("us")).where("usuario_id is not null and ferramenta_id is not null and us is not null")
+
+    def emit(k, batches, state):
+        last = state.get[0] if state.exists else None
+        new = pd.concat(list(batches)).drop_duplicates().sort_values(["us", "id"], kind="stable")
+        keep = []
+        new = new.reset_index(drop=True)
+        for us in new["us"]:
+            ok = last is None or us - last >= gap
+            keep.append(ok)
+            last = us if ok else last
+        state.update((last,))
+        out = new.loc[keep, ["id"]]
+        yield out.assign(usuario_id=k[0], ferramenta_id=k[1])
+
+    return src.groupBy("usuario_id", "ferramenta_id").applyInPandasWithState(emit, "id string, usuario_id string, ferramenta_id string", "last bigint", "append", "NoTimeout")
