@@ -5,12 +5,14 @@ several readings (day/month order, which unit a bare number has), every valid re
 with a format of its own. Expectation-maximisation over the format mixture of each source then
 chooses: values that can be read in one way only teach the source's mixture, ambiguous ones take part
 with their posterior weights. The E and M steps run per source on counts by (shape, valid readings,
-plausibility), never on rows, and on shares, so that the number of rows decides nothing. Where the data
-have a convention for the order of a date (day before month, month first with a 12-hour clock), it is a
-constraint on the candidates (fixed_order); without one both orders are candidates and the mixture
-chooses. Dates with the year first or a named month have one order only. What stays undecided is marked:
-`ambiguo` is true where the posterior of the chosen reading is below `sure`, or where a clock time
-occurred twice and nothing says which it was (the first one is then taken).
+plausibility), never on rows, and on shares, so that the number of rows decides nothing. Both orders of
+a date are always candidates, from which the mixture learns how the source writes. Where the data have a
+convention for the order (fixed_order: day before month, month first with a 12-hour clock), it overrules
+the mixture: readings against it (`fora`) count in the mixture and the posterior but are never chosen.
+Dates with the year first or a named month have one order only. What stays undecided is marked:
+`ambiguo` is true where the posterior of the chosen reading is below `sure` (also where the source's own
+values do not bear out the convention), or where a clock time occurred twice and nothing says which it
+was (the first one is then taken).
 
 Edge cases: null, blank or unreadable values, dates and times that do not exist (with a fixed order also those that exist
 in the other order only), clock times skipped by a zone, and values without time of day (for instants) or without any zone give no reading; unknown
@@ -132,32 +134,32 @@ def _day_parts(df: DataFrame) -> DataFrame:
     return df.withColumns({"_y": year, "_m": month, "_d": _int(F.col("_D")), "_two": F.coalesce(F.col("_D2") != "", F.lit(False))})
 
 
-def _read(name: Column, s: Column, later: Column | None = None) -> Column:
-    return F.struct(name.alias("formato"), s.cast("bigint").alias("s"), (F.lit(None) if later is None else later).cast("bigint").alias("depois"))
+def _read(name: Column, s: Column, later: Column | None = None, against: Column | None = None) -> Column:
+    later, against = (F.lit(None) if later is None else later), (F.lit(False) if against is None else against)
+    return F.struct(name.alias("formato"), s.cast("bigint").alias("s"), later.cast("bigint").alias("depois"), against.alias("fora"))
 
 
-def _order(month_first: Column) -> Column:
-    return F.when(~F.col("_two"), "unica").when(month_first, "mda").otherwise("dma")
+def _order() -> Column:
+    return F.when(F.col("_two"), "dma").otherwise("unica")
 
 
 def date_candidates(df: DataFrame, value: str, fixed_order: bool = True, names: tuple[str, str] = ("_forma", "_cand")) -> DataFrame:
-    """Adds _forma, _cand like instant_candidates; s is the day number since 1970. Time of day is ignored. fixed_order: the day comes first."""
+    """Adds _forma, _cand like instant_candidates; s is the day number since 1970. Time of day is ignored. fixed_order: only a reading with the day first may be chosen."""
     had = df.columns
     df = _fields(df.withColumn("_g", F.split(_take(strip(F.col(value)), _ONLY_DATE, _DAY_FIELDS), "\u0001")), _FIELDS[:5])
-    df = _day_parts(df).withColumn("_dma", _day(F.col("_y"), F.col("_m"), F.col("_d")))
-    cand = F.array(F.when(F.col("_dma").isNotNull(), _read(_order(F.lit(False)), F.col("_dma"))))
-    if not fixed_order:
-        df = df.withColumn("_mda", F.when(F.col("_two"), _day(F.col("_y"), F.col("_d"), F.col("_m"))))
-        cand = F.array(*[F.when(F.col(c).isNotNull(), _read(_order(F.lit(c == "_mda")), F.col(c))) for c in ("_dma", "_mda")])
+    df = _day_parts(df)
+    df = df.withColumns({"_dma": _day(F.col("_y"), F.col("_m"), F.col("_d")), "_mda": F.when(F.col("_two"), _day(F.col("_y"), F.col("_d"), F.col("_m")))})
+    cand = F.array(F.when(F.col("_dma").isNotNull(), _read(_order(), F.col("_dma"))), F.when(F.col("_mda").isNotNull(), _read(F.lit("mda"), F.col("_mda"), against=F.lit(fixed_order))))
     return df.select(*had, F.lit("data").alias(names[0]), F.array_compact(cand).alias(names[1]))
 
 
 def instant_candidates(df: DataFrame, value: str, day_of: str | None, zone: str, fixed_order: bool = True) -> DataFrame:
-    """Adds _forma (shape of the writing) and _cand: array<struct<formato, s, depois>>; drops no row.
+    """Adds _forma (shape of the writing) and _cand: array<struct<formato, s, depois, fora>>; drops no row.
 
     value: text of the field. day_of: column with the date that a bare time belongs to. zone: column with the IANA name
-    for values without a zone of their own, null or passed through known_zone (once, in its small table). fixed_order: the
-    day comes first, but the month with a date and a 12-hour clock. s: seconds since 1970; depois: the second occurrence, if any.
+    for values without a zone of their own, null or passed through known_zone (once, in its small table). fixed_order: only
+    readings with the day first, with a date and a 12-hour clock those with the month first, may be chosen; fora: the others.
+    s: seconds since 1970; depois: the second occurrence, if any.
     Each step is a projection of its own, so that nothing is computed twice and the generated code stays small.
     """
     had = df.columns
@@ -182,33 +184,29 @@ def instant_candidates(df: DataFrame, value: str, day_of: str | None, zone: str,
     part = lambda unit, mod: (F.floor(F.col("_c") / unit) % mod).cast("int")
     df = df.withColumns({"_cy": part(10**10, 10**4), "_cm": part(10**8, 100), "_cd": part(10**6, 100), "_ch": part(10**4, 100), "_ci": part(100, 100), "_cs": part(1, 100)})
     month_first = F.col("_twelve") & ~F.col("_bare") & F.col("_two")
-    a, b = F.col("_m"), F.col("_d")
-    first, second = (F.when(month_first, b).otherwise(a), F.when(month_first, a).otherwise(b)) if fixed_order else (a, b)
-    df = df.withColumns({"_s": _seconds(), "_off": _offset(), "_m1": first, "_d1": second, "_named": F.when(F.coalesce(F.col("_ZN"), F.lit("")) != "", known_zone(F.col("_ZN"), names)).otherwise(F.col(zone))})
+    df = df.withColumns({"_s": _seconds(), "_off": _offset(), "_named": F.when(F.coalesce(F.col("_ZN"), F.lit("")) != "", known_zone(F.col("_ZN"), names)).otherwise(F.col(zone))})
     compact = _day(F.col("_cy"), F.col("_cm"), F.col("_cd")).cast("bigint") * 86400 + F.when((F.col("_ch") < 24) & (F.col("_ci") < 60) & (F.col("_cs") < 60), F.col("_ch") * 3600 + F.col("_ci") * 60 + F.col("_cs"))
     local = {
         "_l0": F.when(F.col("_c").isNotNull(), compact).when(F.col("_ser").isNotNull(), F.round(F.col("_ser") * 86400).cast("bigint") - 25569 * 86400)
-        .when(F.size("_g") == len(_FIELDS) + 1, _day(F.col("_y"), F.col("_m1"), F.col("_d1")).cast("bigint") * 86400 + F.col("_s")),
+        .when(F.size("_g") == len(_FIELDS) + 1, _day(F.col("_y"), F.col("_m"), F.col("_d")).cast("bigint") * 86400 + F.col("_s")),
+        "_l1": F.when(F.col("_two"), _day(F.col("_y"), F.col("_d"), F.col("_m")).cast("bigint") * 86400 + F.col("_s")),
         # a zone that is written but can't be understood leaves no reading
         "_z": F.when((F.coalesce(F.col("_ZA"), F.lit("")) == "") & (F.coalesce(F.col("_ZO"), F.lit("")) == ""), F.col("_named")),
     }
-    orders = [0] if fixed_order else [0, 1]
-    if not fixed_order:
-        local["_l1"] = F.when(F.col("_two"), _day(F.col("_y"), F.col("_d"), F.col("_m")).cast("bigint") * 86400 + F.col("_s"))
     df = df.withColumns(local)
     utc = lambda c: F.unix_seconds(F.to_utc_timestamp(F.timestamp_seconds(F.col(c)), F.col("_z")))
-    df = df.withColumns({f"_u{i}": F.when(F.col("_off").isNotNull(), F.col(f"_l{i}") - F.col("_off")).otherwise(utc(f"_l{i}")) for i in orders})
+    df = df.withColumns({f"_u{i}": F.when(F.col("_off").isNotNull(), F.col(f"_l{i}") - F.col("_off")).otherwise(utc(f"_l{i}")) for i in (0, 1)})
     shown = lambda i, later: F.unix_seconds(F.from_utc_timestamp(F.timestamp_seconds(F.col(f"_u{i}") + later), F.col("_z"))) == F.col(f"_l{i}")
     # the clock shows that time: else the zone skipped it; and again an hour later: it occurred twice
-    df = df.withColumns({f"_k{i}": F.when(F.col("_off").isNotNull(), F.lit(True)).otherwise(shown(i, 0)) for i in orders})
+    df = df.withColumns({f"_k{i}": F.when(F.col("_off").isNotNull(), F.lit(True)).otherwise(shown(i, 0)) for i in (0, 1)})
     # a reading whose date exists but whose clock time was skipped stays a candidate, without an instant
     later = lambda i: F.when(F.col("_off").isNull() & F.col(f"_k{i}") & shown(i, 3600), F.col(f"_u{i}") + 3600)
     zoned = F.col("_off").isNotNull() | F.col("_z").isNotNull()
-    read = lambda name, i: F.when(F.col(f"_l{i}").isNotNull() & zoned, _read(name, F.when(F.col(f"_k{i}"), F.col(f"_u{i}")), later(i)))
+    read = lambda name, i, against=None: F.when(F.col(f"_l{i}").isNotNull() & zoned, _read(name, F.when(F.col(f"_k{i}"), F.col(f"_u{i}")), later(i), against))
     unix = lambda name, unit, least, most: F.when(F.col("_n").isNotNull() & F.col("_len").between(least, most), _read(F.lit(name), F.floor(F.col("_n") / unit)))
     own = F.when(F.col("_ser").isNotNull(), "planilha").otherwise("compacto")
     numbers = F.array(unix("unix_s", 1, 9, 10), unix("unix_ms", 1000, 12, 13), unix("unix_us", 1_000_000, 15, 16), read(own, 0))
-    texts = F.array(read(_order(month_first if fixed_order else F.lit(False)), 0), *[read(F.lit("mda"), i) for i in orders[1:]])
+    texts = F.array(read(_order(), 0, F.lit(fixed_order) & month_first), read(F.lit("mda"), 1, F.lit(fixed_order) & ~month_first))
     shape = (
         F.when(F.col("_num"), F.concat(F.lit("numero"), F.coalesce(F.col("_len").cast("string"), F.lit("_fracao"))))
         .when(F.col("_twelve"), F.when(F.col("_bare"), "hora12").otherwise("texto12"))
@@ -254,9 +252,9 @@ def _plausible(s: Column, seen: Column) -> Column:
 
 
 def choose(df: DataFrame, source: Column, seen: Column | None, sure: float = 0.95) -> DataFrame:
-    """Adds fonte, formato, s, depois, ambiguo from _forma and _cand; rows without a reading go. A readable value stays, however rare its format is."""
+    """Adds fonte, formato, s, depois, ambiguo from _forma and _cand; rows without a reading that may be chosen go. A readable value stays, however rare its format is."""
     seen = F.lit(None).cast("timestamp") if seen is None else seen
-    scored = F.transform("_cand", lambda x: F.struct(x["formato"].alias("formato"), x["s"].alias("s"), x["depois"].alias("depois"), F.when(F.size("_cand") > 1, _plausible(x["s"], seen)).otherwise(1.0).alias("p")))
+    scored = F.transform("_cand", lambda x: F.struct(x["formato"].alias("formato"), x["s"].alias("s"), x["depois"].alias("depois"), x["fora"].alias("fora"), F.when(F.size("_cand") > 1, _plausible(x["s"], seen)).otherwise(1.0).alias("p")))
     # a filter on _cand would be pushed below and repeat all that makes it; a generator's output is a barrier
     had = [c for c in df.columns if c != "_cand"]
     kept = df.withColumn("fonte", F.coalesce(source, F.lit("-"))).select(*had, "fonte", F.explode_outer(F.when(F.size("_cand") > 0, F.array(scored))).alias("_cand"))
@@ -268,10 +266,10 @@ def choose(df: DataFrame, source: Column, seen: Column | None, sure: float = 0.9
     mixture = counts.groupBy("fonte").applyInPandas(lambda pdf: fit_mixture(pdf), "fonte string, forma string, formato string, peso double")
     maps = mixture.groupBy("fonte", F.col("forma").alias("_forma")).agg(F.map_from_entries(F.collect_list(F.struct("formato", "peso"))).alias("_pesos"))
     df = join_small(df, maps, ["fonte", "_forma"])
-    # posteriors; of equal ones the first candidate counts
-    posterior = F.transform("_cand", lambda x, i: F.struct((F.coalesce(F.try_element_at(F.col("_pesos"), x["formato"]), F.lit(0.0)) * x["p"]).alias("w"), (-i).alias("i"), x["formato"].alias("formato"), x["s"].alias("s"), x["depois"].alias("depois")))
-    single = F.array(F.struct(F.lit(1.0).alias("w"), F.lit(0).alias("i"), one["formato"].alias("formato"), one["s"].alias("s"), one["depois"].alias("depois")))
-    df = df.withColumn("_w", F.when(F.size("_cand") == 1, single).otherwise(posterior)).withColumn("_top", F.array_max("_w"))
+    # posteriors over all readings; of equal ones the first candidate counts, of those against the convention none
+    posterior = F.transform("_cand", lambda x, i: F.struct((F.coalesce(F.try_element_at(F.col("_pesos"), x["formato"]), F.lit(0.0)) * x["p"]).alias("w"), (-i).alias("i"), x["formato"].alias("formato"), x["s"].alias("s"), x["depois"].alias("depois"), x["fora"].alias("fora")))
+    single = F.array(F.struct(F.lit(1.0).alias("w"), F.lit(0).alias("i"), one["formato"].alias("formato"), one["s"].alias("s"), one["depois"].alias("depois"), one["fora"].alias("fora")))
+    df = df.withColumn("_w", F.when(F.size("_cand") == 1, single).otherwise(posterior)).withColumn("_top", F.array_max(F.filter("_w", lambda x: ~x["fora"])))
     open_ = F.when(F.size("_w") > 1, (F.size(F.array_distinct(F.transform("_w", lambda x: x["s"]))) > 1) & (F.col("_top.w") < sure * F.aggregate("_w", F.lit(0.0), lambda a, x: a + x["w"]))).otherwise(F.lit(False))
     return df.withColumns({
         "formato": F.col("_top.formato"), "s": F.col("_top.s"), "depois": F.col("_top.depois"), "ambiguo": open_ | F.col("_top.depois").isNotNull(),

@@ -6,6 +6,7 @@ import pandas as pd
 from pyspark.sql import functions as F
 
 from lavra.operators import timestamps as ts
+from lavra.plans import problems
 
 CASES = {
     "2024-01-01T05:19:38": "2024-01-01T08:19:38Z", "2024-01-01T01:06:40.999Z": "2024-01-01T01:06:40Z", "31/12/2023 21:59": "2024-01-01T00:59:00Z",
@@ -88,5 +89,30 @@ def test_the_order_of_a_date_does_not_depend_on_how_many_there_are(spark):
     assert [r["dia"] for r in ts.normalise_dates(df, "v", F.lit("x")).collect()] == ["2024-12-25"]
 
 
+def test_with_a_convention_both_orders_are_still_read_and_the_source_is_heard(spark):
+    with_two = spark.createDataFrame([("03/04/2024",), ("25/03/2024",), ("03/25/2024",), ("2024-03-04",)], "v string")
+    got = {r["v"]: [(c["formato"], c["fora"]) for c in r["_cand"]] for r in ts.date_candidates(with_two, "v").collect()}
+    assert got == {"03/04/2024": [("dma", False), ("mda", True)], "25/03/2024": [("dma", False)], "03/25/2024": [("mda", True)], "2024-03-04": [("unica", False)]}
+    rows = [(v, s) for s, v in [("br", "25/03/2024"), ("us", "03/25/2024")] for _ in range(30)] + [("03/04/2024", "br"), ("03/04/2024", "us")]
+    got = {(r["v"], r["x"]): (r["dia"], r["ambiguo"]) for r in ts.normalise_dates(spark.createDataFrame(rows, "v string, x string"), "v", F.col("x")).collect()}
+    # the convention holds, but the source that does not bear it out is marked
+    assert got == {("25/03/2024", "br"): ("2024-03-25", False), ("03/04/2024", "br"): ("2024-04-03", False), ("03/04/2024", "us"): ("2024-04-03", True)}
+    clock = [(i, v, None, "UTC", "x", None) for i, v in enumerate(["25/03/2024 02:15 PM"] * 30 + ["03/04/2024 02:15 PM"])]
+    assert [(r["instante"], r["ambiguo"]) for r in read(spark, clock).collect()] == [("2024-03-04T14:15:00Z", True)]
+
+
+def test_p4_hears_both_orders(spark, tmp_path):
+    noon, none = dt.datetime(2024, 3, 26), "id string, ts string, data string, hora string, unidade_id string"
+    days = {"br": ["25/03/2024"] * 30 + ["03/04/2024"], "us": ["03/25/2024"] * 30 + ["03/04/2024"]}
+    events = [(f"{u}{i}", "2024-03-25T10:00:00Z", d, u, noon) for u, ds in days.items() for i, d in enumerate(ds)]
+    spark.createDataFrame(events, "id string, ts string, data string, unidade_id string, recebido_em timestamp").write.parquet(f"{tmp_path}/eventos.parquet")
+    spark.createDataFrame([], none).write.parquet(f"{tmp_path}/auditoria.parquet")
+    spark.createDataFrame([("br", "UTC"), ("us", "UTC")], "id string, fuso string").write.parquet(f"{tmp_path}/unidades.parquet")
+    found = {r["registro"]: r["valor"] for r in problems.p4_found(spark, str(tmp_path)).where("campo = 'eventos.data'").collect()}
+    assert found == {f"br{i}": "2024-03-25" for i in range(30)} | {"br30": "2024-04-03", "us30": "2024-04-03"}
+    mixture = {(r["fonte"], r["formato"]): (r["n"], r["n_ambiguos"]) for r in problems.p4_mixture(spark, str(tmp_path)).where("campo = 'eventos.data'").collect()}
+    assert mixture == {("br", "dma"): (31, 0), ("us", "dma"): (1, 1)}
+
+
 def test_empty(spark):
     assert read(spark, []).count() == 0
